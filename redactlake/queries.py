@@ -1,0 +1,10 @@
+"""Queries over the driver tables, and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def pieces(batches: Iterator[pa.RecordBatch], size_column: str, limit: int = BAT
             continue
         column = batch.column(batch.schema.get_field_index(size_column))
         start, held = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+        for i, n in enumerate(pc.binary_length(column).to_pylist()):
             if held and held + (n or 0) > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0

@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from redactlake.llm.common import pieces, utf8
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries that the caches of a worker hold before they are emptied.
-CACHE_ENTRIES = 800_000
+#: Parts that a worker caches before it begins anew, and looks into what it had for as long again.
+CACHE_ENTRIES = 250_000
+#: Bytes of text that a worker encodes at a time.
+ENCODE_BYTES = 4 << 20
+#: Pairs of tokens whose answers a worker remembers.
+FOLLOWS_ENTRIES = 500_000
 #: Words in one trie.
 TRIE_WORDS = 50_000
 
@@ -35,19 +39,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def load(path: str) -> tuple[dict, dict[int, bytes], dict[str, int]]:
+    """The model, the bytes of each token, and the special tokens of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters, special = byte_alphabet(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    return spec["model"], {i: bytes(letters[c] for c in token) for token, i in spec["model"]["vocab"].items() if token not in special}, special
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """By id."""
+    _, bytes_of, special = load(path)
+    bytes_of |= {i: s.encode() for s, i in special.items()}
+    return [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        letters, model = byte_alphabet(), spec["model"]
-        self.bytes_of: dict[int, bytes] = {}
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        for token, i in model["vocab"].items():
-            if token not in special:
-                self.bytes_of[i] = bytes(letters[c] for c in token)
-        self.special = special
+        model, self.bytes_of, self.special = load(path)
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         of = lambda s: model["vocab"][s]
@@ -55,9 +67,7 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[of(a), of(b)] = (rank, of(a + b))
         self.halves = {made: (rank, a, b) for (a, b), (rank, made) in self.merges.items()}
-        self.bytes_of |= {i: s.encode() for s, i in special.items()}
-        size = max(self.bytes_of) + 1
-        self.pieces = [self.bytes_of.get(i, b"") for i in range(size)]
+        self.size = max([*self.bytes_of, *self.special.values()]) + 1
 
     def apart(self, a: int, b: int, until: int = 1 << 30) -> bool:
         """Whether merging the bytes of a and b, up to the rank until, never joins them.
@@ -89,7 +99,7 @@ class TrieEncoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.starts = {t[:k] for t in vocabulary.id_of for k in range(len(t) + 1)}
-        self.packed = [i.to_bytes(4, "little") for i in range(len(vocabulary.pieces))]
+        self.packed = [i.to_bytes(4, "little") for i in range(vocabulary.size)]
         self.follows: dict[int, bool] = {}
         # States of the automaton of all tokens, made as they are met: the longest end of a prefix that begins a token.
         self.state_of: dict[bytes, int] = {b"": 0}
@@ -101,6 +111,8 @@ class TrieEncoder:
         """before -1: at the start of a word."""
         v = self.vocabulary
         found = v.whole(token) and (before < 0 or v.apart(before, token))
+        if len(self.follows) > FOLLOWS_ENTRIES:
+            self.follows.clear()
         self.follows[before << 20 | token] = found
         return found
 
@@ -176,6 +188,7 @@ class TextEncoder:
         self.limit = cache_entries
         self.first: dict[str, bytes | None] = {}  # of parts that begin a line; None: not to be cut there
         self.after: dict[str, bytes | None] = {}  # of parts that follow a space, which is theirs
+        self.aged: tuple[dict, dict] = ({}, {})  # what was cached before the caches were last full
         self.newline = dict(self.trie.encode([b"\n"]))[b"\n"]
         self.specials = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
 
@@ -209,9 +222,10 @@ class TextEncoder:
                     for line in lines:
                         first.add(line[0])
                         after.update(line[1:])
-        if len(self.first) + len(self.after) + len(after) > self.limit:
-            self.first.clear()
-            self.after.clear()
+        if len(self.first) + len(self.after) > self.limit:
+            self.aged, self.first, self.after = (self.first, self.after), {}, {}
+        for known, old, parts in zip((self.first, self.after), self.aged, (first, after), strict=True):
+            known.update((p, old[p]) for p in parts.difference(known) if p in old)
         collecting = gc.isenabled()
         gc.disable()  # a trie is many small dicts and has no cycles
         self._learn(first.difference(self.first), after.difference(self.after))
@@ -233,11 +247,6 @@ class TextEncoder:
             out.append(b"".join(got))
         return out
 
-    def decode(self, ids: bytes) -> str:
-        of = self.vocabulary.pieces.__getitem__
-        return b"".join(map(of, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One per worker process, whose caches later tasks find filled."""
@@ -256,7 +265,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def work(batches):
         e = encoder(path)
-        for b in pieces(batches, "_utf8"):
+        for b in pieces(batches, "_utf8", ENCODE_BYTES):
             k = b.schema.get_field_index("_utf8")
             ids = e.encode([t.decode("utf-8", "replace") for t in b.column(k).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(ids, pa.binary())], names=[*names, "ids"])
@@ -271,10 +280,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
     schema = df.select(*[df[c] for c in names]).schema.add(to, "string")
 
     def work(batches):
-        e = encoder(path)
+        of = token_bytes(path).__getitem__
         for b in pieces(batches, "_ids"):
             k = b.schema.get_field_index("_ids")
-            out = [e.decode(x) for x in b.column(k).to_pylist()]
+            out = [b"".join(map(of, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in b.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(out, pa.string())], names=[*names, to])
 
     return source.mapInArrow(work, schema)

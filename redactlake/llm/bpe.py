@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import pieces, utf8
+from redactlake.llm.common import pieces, small_batches, utf8
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Parts that a worker caches before it begins anew, and looks into what it had for as long again.
@@ -253,26 +253,37 @@ def encoder(path: str) -> TextEncoder:
     return TextEncoder(Vocabulary(path))
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = None) -> DataFrame:
     """Adds `ids`, binary: the ids of the whole text (null: empty) as little-endian unsigned 32-bit integers.
 
-    Extra columns stay; equal rows give equal ids; empty tables give empty results. A column named ids or `_utf8` is
-    replaced. Texts go to workers in batches of bounded bytes; nothing is shuffled.
+    decoded: name of a further column, the text that the ids give again. Extra columns stay; equal rows give equal
+    ids; empty tables give empty results. A column named ids or `_utf8` is replaced. Texts go to workers in batches of
+    bounded bytes; nothing is shuffled.
     """
-    names = [c for c in df.columns if c not in ("ids", "_utf8")]
+    small_batches(df.sparkSession)
+    names = [c for c in df.columns if c not in ("ids", "_utf8", decoded)]
     source = df.select(*[df[c] for c in names], utf8(df[text]).alias("_utf8"))
     schema = df.select(*[df[c] for c in names]).schema.add("ids", "binary")
+    if decoded:
+        schema = schema.add(decoded, "string")
 
     def work(batches):
         e = encoder(path)
+        of = token_bytes(path) if decoded else []
         for b in pieces(batches, "_utf8", ENCODE_BYTES):
-            k = b.schema.get_field_index("_utf8")
-            ids = e.encode([t.decode("utf-8", "replace") for t in b.column(k).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(ids, pa.binary())], names=[*names, "ids"])
+            ids = e.encode([t.decode("utf-8", "replace") for t in b.column(len(names)).to_pylist()])
+            made = [pa.array(ids, pa.binary())]
+            if decoded:
+                made.append(pa.array([_decoded(x, of) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *made], names=schema.names)
 
     return source.mapInArrow(work, schema)
 
 
+def _decoded(ids: bytes, of: list[bytes]) -> str:
+    return b"".join(map(of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds the text that ids stand for; null ids give the empty text."""
     names = [c for c in df.columns if c not in (to, "_ids")]
@@ -280,10 +291,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> D
     schema = df.select(*[df[c] for c in names]).schema.add(to, "string")
 
     def work(batches):
-        of = token_bytes(path).__getitem__
+        of = token_bytes(path)
         for b in pieces(batches, "_ids"):
             k = b.schema.get_field_index("_ids")
-            out = [b"".join(map(of, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in b.column(k).to_pylist()]
+            out = [_decoded(x, of) for x in b.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(out, pa.string())], names=[*names, to])
 
     return source.mapInArrow(work, schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import Scratch, parallelism, pieces, utf8
+from redactlake.llm.common import Scratch, parallelism, pieces, small_batches, utf8
 
 SPACE = b" \t\n\x0b\x0c\r"
 _RUN = "h1 long, h2 long, dh long, doc {doc}, th long, n_lines int, first int, more binary"
@@ -34,6 +34,7 @@ def text_hash(text: str | Column) -> Column:
 
 def _hashes(df: DataFrame, doc: str, text: str, min_chars: int) -> DataFrame:
     """A row per document and distinct key."""
+    small_batches(df.sparkSession)
     source = df.select(F.xxhash64(F.col(doc)).alias("dh"), F.col(doc).alias("doc"), text_hash(text).alias("th"), utf8(text).alias("data"))
     kind = df.schema[doc].dataType.simpleString()
 

@@ -21,9 +21,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    df = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    df = bpe.decode(df.drop("text"), path)
+    df = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), decoded="decoded")
     return df.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

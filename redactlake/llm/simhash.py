@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import Scratch, pieces, utf8
+from redactlake.llm.common import Scratch, pieces, small_batches, utf8
 from redactlake.llm.components import components
 
 RADIUS = 2
@@ -46,6 +46,7 @@ def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """df without its text, with `fp`, long: the fingerprint as a signed integer. Null texts count as empty."""
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c not in (text, "fp")]
     source = df.select(*names, utf8(text).alias("_data"))
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import Scratch, parallelism, pieces, utf8
+from redactlake.llm.common import Scratch, parallelism, pieces, small_batches, utf8
 
 LENGTH = 200
 SEED = 24
@@ -290,6 +290,7 @@ def text_keys(text: str | Column) -> list[Column]:
 def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """(text_hash, text_tag, spans): for texts with repeated strings, [start, end) byte ranges that may overlap."""
     spark = df.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "suffixes")
     n_ranges = parallelism(spark)
     source = df.select(*text_keys(text), utf8(text).alias("data")).where(F.length("data") >= length)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import bpe, line_dedup, simhash, suffix_dedup
+from redactlake.llm import bpe, line_dedup, quality, simhash, suffix_dedup
+from redactlake.llm.common import crc32_mod
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -46,6 +47,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Fitted on labelled documents that are not held out."""
+    learn = read(spark, sf_dir, "labels").where(crc32_mod("doc_id", 5) != 0)
+    return quality.fit(*quality.sample(read(spark, sf_dir, "documents").select("doc_id", "text"), learn))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = quality.score(read(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir))
+    return df.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 #: In DuckDB: the lines of all documents (empty text for null) with their keys and the number of documents of each key.
 LINES = """
     WITH parts AS (
@@ -60,7 +72,7 @@ LINES = """
         SELECT k.*, o.key IS NOT NULL AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key
     )"""
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_quality": op7_quality}
 
 SQL: dict[str, str] = {
     "op2_line_dedup": LINES.format(documents="documents")

@@ -29,7 +29,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactlake.llm.common import Scratch, parallelism, pieces, small_batches, utf8
@@ -308,10 +308,9 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, seed
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), b.column(0).take(take), pa.array(tag << 32 | np.concatenate(ats))], names=["seed", "text_hash", "at"])
 
     found = source.mapInArrow(find, "seed long, text_hash long, at long")
-    # Copies of a text list the same anchors; an anchor counts only if two of its places differ.
-    window = Window.partitionBy("seed")
-    place = F.struct("text_hash", "at")
-    shared = found.select("*", F.min(place).over(window).alias("a"), F.max(place).over(window).alias("b"), F.count("*").over(window).alias("n")).where("a <> b")
+    # Copies of a text list the same places; an anchor counts only if two of its places differ.
+    places = found.distinct()
+    shared = places.join(places.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "seed")
     per_text = shared.select("text_hash", F.shiftright("at", 32).cast("int").alias("text_tag"), F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("at"), (F.col("n") > hot).alias("hot")).alias("a"))
     per_text = per_text.groupBy("text_hash", "text_tag").agg(F.collect_set("a").alias("anchors"))
     texts = source.groupBy("text_hash", "text_tag").agg(F.first("data").alias("data")).join(per_text, ["text_hash", "text_tag"])

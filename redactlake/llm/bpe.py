@@ -247,10 +247,15 @@ class TextEncoder:
             out.append(b"".join(got))
         return out
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One per worker process, whose caches later tasks find filled."""
-    return TextEncoder(Vocabulary(path))
+    return TextEncoder(vocabulary(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = None) -> DataFrame:

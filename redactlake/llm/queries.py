@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import bpe, line_dedup, quality, simhash, suffix_dedup
+from redactlake.llm import bpe, line_dedup, packing, quality, simhash, suffix_dedup
 from redactlake.llm.common import crc32_mod
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).withColumnRenamed("doc", "doc_id")
+
+
 #: In DuckDB: the lines of all documents (empty text for null) with their keys and the number of documents of each key.
 LINES = """
     WITH parts AS (
@@ -72,7 +76,7 @@ LINES = """
         SELECT k.*, o.key IS NOT NULL AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key
     )"""
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_quality": op7_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op9_packing": op9_packing}
 
 SQL: dict[str, str] = {
     "op2_line_dedup": LINES.format(documents="documents")

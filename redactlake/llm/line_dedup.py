@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from redactlake.llm.common import Scratch, parallelism, pieces, small_batches, utf8
 
@@ -184,7 +185,7 @@ def keep_lines(df: DataFrame, bitmaps: DataFrame, doc: str = "doc_id", text: str
     marks = bitmaps.select(F.col("doc").alias("_doc"), F.col("th").alias("_mark"), F.col("keep").alias("_keep"))
     joined = left.join(marks, (left[doc].eqNullSafe(marks["_doc"])) & (left["_th"] == marks["_mark"]), "left")
     source = joined.select(*[left[c] for c in names], utf8(left[text]).alias("_data"), "_keep")
-    schema = df.schema
+    schema = StructType(list(df.schema))
     for name, t in (("_n_lines", "long"), ("_n_dropped", "long"), ("_kept", "string")):
         schema = schema.add(name, t)
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from redactlake.llm.common import Scratch, parallelism, pieces, small_batches, utf8
 
@@ -364,17 +365,21 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, seed
     return spans.groupBy("text_hash", "text_tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
-    """The rows of df with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept`, the remaining bytes (binary)."""
+def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT, as_text: bool = False) -> DataFrame:
+    """The rows of df with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept`, the remaining bytes (binary).
+
+    as_text: `_kept` is a string; bytes of characters that were cut in two go as well.
+    """
     spans = Scratch(df.sparkSession, "spans").table(repeated_spans(df, text, length, seed, hot), "spans")
     names = df.columns
     marked = df.withColumns({"_th": text_keys(text)[0], "_tag": text_keys(text)[1]})
     copies = marked.groupBy("_th", "_tag").agg(F.count("*").alias("_copies"))
     right = copies.join(spans.select(F.col("text_hash").alias("_th"), F.col("text_tag").alias("_tag"), "spans"), ["_th", "_tag"], "left").where("_copies > 1 OR spans IS NOT NULL")
     joined = marked.join(right, ["_th", "_tag"], "left").select(*names, utf8(marked[text]).alias("_data"), (F.coalesce("_copies", F.lit(1)) > 1).alias("_copied"), "spans")
-    schema = df.schema
-    for name, t in (("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long"), ("_kept", "binary")):
+    schema = StructType(list(df.schema))
+    for name, t in (("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long"), ("_kept", "string" if as_text else "binary")):
         schema = schema.add(name, t)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
 
     def work(batches):
         for b in pieces(batches, "_data"):
@@ -397,7 +402,9 @@ def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, see
                         at = e
                     kept = b"".join([*kept, data[at:]])
                     rows.append((n, n - len(kept), len(merged), kept))
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=schema.names)
+            if as_text:
+                rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=schema.names)
 
     return joined.mapInArrow(work, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import bpe, line_dedup, packing, quality, simhash, suffix_dedup
+from redactlake.llm import bpe, line_dedup, packing, quality, simhash, suffix_dedup, warc
 from redactlake.llm.common import crc32_mod
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,6 +58,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.lookup(warc.write(pages), pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).withColumnRenamed("doc", "doc_id")
 
@@ -76,7 +81,7 @@ LINES = """
         SELECT k.*, o.key IS NOT NULL AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key
     )"""
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op9_packing": op9_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_packing": op9_packing}
 
 SQL: dict[str, str] = {
     "op2_line_dedup": LINES.format(documents="documents")
@@ -84,4 +89,17 @@ SQL: dict[str, str] = {
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
     FROM marked GROUP BY doc_id""",
+    "op8_warc": """
+    WITH p AS (
+        SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS sha FROM pages
+    ), latest AS (
+        SELECT sha, max(page_id) AS latest FROM p GROUP BY sha
+    )
+    SELECT page_id, octet_length(payload) AS payload_bytes,
+           array_to_string([
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)
+               for i in range(32)], '') AS payload_digest,
+           CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> latest THEN latest END AS refers_to
+    FROM p JOIN latest USING (sha)""",
 }

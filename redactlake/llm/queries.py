@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import bpe, line_dedup, packing, quality, simhash, suffix_dedup, warc
+from redactlake.llm import ann, bpe, line_dedup, packing, quality, simhash, suffix_dedup, warc
 from redactlake.llm.common import crc32_mod
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,6 +67,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).withColumnRenamed("doc", "doc_id")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 #: In DuckDB: the lines of all documents (empty text for null) with their keys and the number of documents of each key.
 LINES = """
     WITH parts AS (
@@ -81,7 +85,7 @@ LINES = """
         SELECT k.*, o.key IS NOT NULL AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key
     )"""
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_packing": op9_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_ann": op10_ann}
 
 SQL: dict[str, str] = {
     "op2_line_dedup": LINES.format(documents="documents")

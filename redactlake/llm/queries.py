@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import ann, bpe, fingerprint, line_dedup, packing, quality, simhash, suffix_dedup, warc
+from redactlake.llm import ann, bpe, fingerprint, line_dedup, lm, packing, quality, simhash, suffix_dedup, warc
 from redactlake.llm.common import crc32_mod
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.score(df, crc32_mod("doc_id", 7) == 2).withColumnRenamed("doc", "doc_id")
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc", "doc_id")
 
@@ -89,7 +94,7 @@ LINES = """
         SELECT k.*, o.key IS NOT NULL AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key
     )"""
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op4_fingerprint": op4_fingerprint, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_ann": op10_ann}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_lm": op3_lm, "op4_fingerprint": op4_fingerprint, "op5_suffix_dedup": op5_suffix_dedup, "op6_simhash": op6_simhash, "op7_quality": op7_quality, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_ann": op10_ann}
 
 SQL: dict[str, str] = {
     "op2_line_dedup": LINES.format(documents="documents")

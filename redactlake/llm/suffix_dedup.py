@@ -2,7 +2,8 @@
 
 A byte goes if it lies in a string of LENGTH bytes that also starts anywhere else. Sampling: of each window of LENGTH
 bytes the 24-byte string with the least hash (the leftmost of equals) is its anchor, so equal windows have their
-anchors at equal offsets, and only suffixes that start at anchors are sorted, about one in 90.
+anchors at equal offsets, and only suffixes that start at anchors are sorted, about one in 90. Only windows that an
+anchor is the anchor of are looked at from there.
 
 1. Anchors whose 24 bytes occur elsewhere are found by hash, the rest are done with.
 2. Each task sorts its remaining suffixes (LENGTH bytes from the anchor, led by the hash of their first 24, then the
@@ -38,7 +39,7 @@ from redactlake.llm.common import Scratch, parallelism, pieces, small_batches, u
 LENGTH = 200
 SEED = 24
 #: Occurrences from which an anchor's windows are counted by hash.
-HOT = 100_000
+HOT = 1_000_000
 #: Bytes scanned for anchors at a time, and suffixes judged at a time.
 SCAN_BYTES, JUDGED = 1 << 20, 50_000
 _MASK = np.uint64((1 << 24) - 1)
@@ -80,20 +81,26 @@ def _window_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def anchors(data: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the text's anchors, in order."""
-    if len(data) < length:
-        return np.empty(0, "i8"), np.empty(0, "i8")
-    at_all, h_all = [], []
-    for base in range(0, len(data) - length + 1, SCAN_BYTES):
+def anchors(data: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the text's anchors in order, their hashes, and how far before them, at least and at most, the
+    windows start whose anchors they are."""
+    n = len(data) - length + 1
+    at_all, h_all, low, high = [np.empty(0, "i8")], [np.empty(0, "i8")], [np.empty(0, "i8")], [np.empty(0, "i8")]
+    for base in range(0, max(n, 0), SCAN_BYTES):
         part = np.frombuffer(data, "u1", min(len(data) - base, SCAN_BYTES + length - 1), base)
         h = seed_hashes(part, seed)
-        least = _window_min((h & ~_MASK) | np.arange(len(h), dtype="u8"), length - seed + 1)
-        at = np.unique(least & _MASK).astype("i8")
+        of = (_window_min((h & ~_MASK) | np.arange(len(h), dtype="u8"), length - seed + 1) & _MASK).astype("i8")
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])  # a later window never has an earlier anchor
+        at, last = of[first], np.r_[first[1:], len(of)] - 1
         at_all.append(at + base)
         h_all.append(h[at].view("i8"))
-    at, first = np.unique(np.concatenate(at_all), return_index=True)
-    return at, np.concatenate(h_all)[first]
+        low.append(at - last)
+        high.append(at - first)
+    at, h, low, high = (np.concatenate(x) for x in (at_all, h_all, low, high))
+    if len(at) and n > SCAN_BYTES:  # an anchor on both sides of a cut
+        at, first = np.unique(at, return_index=True)
+        h, low, high = h[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+    return at, h, low, high
 
 
 def _shared(a: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -206,7 +213,8 @@ class LoserTree:
 
 def repeated_offsets(groups: np.ndarray, right: np.ndarray, ahead: np.ndarray, before: list[bytes], length: int, seed: int) -> np.ndarray:
     """For anchors in merged order (whole groups of equal seeds), [i, o]: the window that starts o bytes before
-    anchor i is repeated. right: bytes shared with the anchor before; ahead: bytes there are from the anchor on."""
+    anchor i is repeated. right: bytes shared with the anchor before; ahead: bytes from the anchor to the end of the
+    last window of its own; before: the bytes from the start of its first window to it, backwards."""
     n, offsets = len(groups), length - seed + 1
     order = sorted(range(n), key=lambda i: (groups[i], before[i]))
     rows, sizes = _padded([before[i] for i in order], length)
@@ -262,7 +270,7 @@ def _merge(runs: list[bytes], length: int, seed: int):
         many = np.bincount(of, minlength=len(one)) > 1
         behind = np.array([len(b[i]) for i in one.tolist()])
         o = np.arange(length - seed + 1)
-        covered[many] |= (o <= behind[many, None]) & (length - o <= a[one][many, None])
+        covered[many] = (o <= behind[many, None]) & (length - o <= a[one][many, None])
         hit = np.flatnonzero(covered.any(1)[of])
         row, start, end = _spans(covered[of[hit]], own[hit, 1] & 0xFFFFFFFF, length)
         return own[hit[row], 0], own[hit[row], 1] >> 32, start, end
@@ -300,7 +308,7 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, seed
         for b in pieces(batches, "data"):
             rows, hs, ats = [], [], []
             for i, data in enumerate(b.column(2).to_pylist()):
-                at, h = anchors(data, length, seed)
+                at, h, _, _ = anchors(data, length, seed)
                 rows.append(np.full(len(at), i))
                 ats.append(at)
                 hs.append(h)
@@ -330,16 +338,16 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, seed
         for b in pieces(batches, "data"):
             listed = []
             for th, tag, data, where in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                for a in where:
+                at, _, low, high = anchors(data, length, seed)
+                own = np.searchsorted(at, [a["at"] for a in where])
+                for a, lo, hi in zip(where, low[own].tolist(), high[own].tolist(), strict=True):
                     p = a["at"]
                     tp = tag << 32 | p
                     if a["hot"]:
-                        for o in range(min(p, length - seed) + 1):
-                            if p - o + length <= len(data):
-                                listed.append((xxhash.xxh3_128_digest(data[p - o : p - o + length]), th, tp, o))
+                        listed += [(xxhash.xxh3_128_digest(data[p - o : p - o + length]), th, tp, o) for o in range(lo, hi + 1)]
                         continue
                     h = xxhash.xxh64_digest(data[p : p + seed])
-                    held[int.from_bytes(h[:4], "big") * n_ranges >> 32].append((h + data[p : p + length], data[max(0, p - length + seed) : p][::-1], th, tp))
+                    held[int.from_bytes(h[:4], "big") * n_ranges >> 32].append((h + data[p : p + length - lo], data[p - hi : p][::-1], th, tp))
                     size += 1
             if listed:
                 yield pa.RecordBatch.from_arrays([pa.array([-1] * len(listed), pa.int32()), *(pa.array([x[k] for x in listed], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32())))], names=names)

@@ -32,6 +32,8 @@ STATES, ROUNDS = 12, 5
 HEAD, CLASSES = 16_384, 512
 #: Tokens of a training segment; of a part of a long text; at once in memory.
 SEGMENT, PART, AT_ONCE = 1024, 8192, 1 << 20
+#: Bytes of text that share a dictionary.
+BATCH = 24 << 20
 #: Weight of the unigram distribution in each state's emissions, in tokens.
 PRIOR = 200.0
 #: Symbols in a block of counts, and blocks added up at a time.
@@ -84,14 +86,14 @@ def _dictionaries(df: DataFrame, doc: str, text: str, held_out, kind: str) -> Da
 
     def work(batches):
         task = TaskContext.get().partitionId()
-        for k, b in enumerate(pieces(batches, "data")):
+        for k, b in enumerate(_gathered(pieces(batches, "data"))):
             known: dict[bytes, int] = {}
             new = known.setdefault
             rows = []
             for data in b.column(2).to_pylist():
                 words = data.lower().split()
                 words.append(END)
-                rows.append(np.fromiter((new(w, len(known)) for w in words), "i8", len(words)))
+                rows.append(np.fromiter((new(w, len(known)) for w in words), "u4", len(words)))
             held = b.column(1).to_pylist()
             learn = [r for r, h in zip(rows, held, strict=True) if not h]
             train = np.bincount(np.concatenate(learn), minlength=len(known)) if learn else np.zeros(len(known), "i8")
@@ -103,6 +105,19 @@ def _dictionaries(df: DataFrame, doc: str, text: str, held_out, kind: str) -> Da
     return source.mapInArrow(work, f"batch long, doc {kind}, held boolean, n_tokens long, ids binary, local int, word binary, train long, cls int")
 
 
+def _gathered(batches):
+    """Neighbouring batches as one of about BATCH bytes of text: larger ones have fewer dictionary entries in all."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(2).nbytes
+        if size >= BATCH:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _vocabulary(counts: DataFrame) -> Vocabulary:
     """counts: (word, c, cls) of training tokens."""
     level = F.floor(F.log2("c") * 8)

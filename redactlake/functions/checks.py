@@ -17,8 +17,14 @@ def _c(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _digit(s: Column, at: int) -> Column:
-    return F.ascii(F.substring(s, at, 1)) - 48
+def _weighted(s: Column, weights: tuple[int, ...], value) -> Column:
+    """Sum of value(character) times its weight."""
+    terms = F.zip_with(F.split(F.substring(s, 1, len(weights)), ""), F.array(*map(F.lit, weights)), lambda c, w: F.coalesce(value(c) * w, F.lit(0)))
+    return F.aggregate(terms, F.lit(0), lambda a, x: a + x)
+
+
+def _digit(c: Column) -> Column:
+    return F.ascii(c) - 48
 
 
 def is_valid_cn_id(value: str | Column, as_of: Column | None = None) -> Column:
@@ -26,7 +32,7 @@ def is_valid_cn_id(value: str | Column, as_of: Column | None = None) -> Column:
     s = _c(value)
     now = as_of if as_of is not None else F.current_timestamp()
     born = F.try_to_date(F.substring(s, 7, 8), "yyyyMMdd")
-    total = sum((_digit(s, i + 1) * w for i, w in enumerate(ID_WEIGHTS)), F.lit(0))
+    total = _weighted(s, ID_WEIGHTS, _digit)
     check = F.substring(F.lit(ID_CHECK), F.pmod(total, F.lit(11)) + 1, F.lit(1))
     good = born.isNotNull() & (F.substring(s, 7, 4) >= "1900") & (born.cast("timestamp") <= now) & (check == F.upper(F.substring(s, 18, 1)))
     return F.when(s.isNull(), F.lit(None).cast("boolean")).when(s.rlike(r"^[0-9]{17}[0-9Xx]\z"), F.coalesce(good, F.lit(False))).otherwise(False)
@@ -51,7 +57,6 @@ def has_known_bin(value: str | Column) -> Column:
 def is_valid_uscc(value: str | Column) -> Column:
     s = _c(value)
     letters = "[0-9A-HJ-NPQRTUWXY]"
-    of = lambda at: F.instr(F.lit(USCC_ALPHABET), F.substring(s, at, 1)) - 1
-    total = sum((of(i + 1) * w for i, w in enumerate(USCC_WEIGHTS)), F.lit(0))
+    total = _weighted(s, USCC_WEIGHTS, lambda c: F.instr(F.lit(USCC_ALPHABET), c) - 1)
     check = F.substring(F.lit(USCC_ALPHABET), F.pmod(31 - F.pmod(total, F.lit(31)), F.lit(31)) + 1, F.lit(1))
     return F.when(s.isNull(), F.lit(None).cast("boolean")).when(s.rlike(f"^{letters}{{2}}[0-9]{{6}}{letters}{{10}}\\z"), check == F.substring(s, 18, 1)).otherwise(False)

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from redactlake.functions.checks import has_known_bin, is_valid_cn_id, is_valid_uscc, luhn
-from redactlake.operators.spans import found
+from redactlake.operators.spans import found, let
 from redactlake.types import Span, no_findings, raw_finding
 
 #: Type, default severity, description.
@@ -38,12 +38,12 @@ PATTERNS = {
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9.])",
 }
 
-#: (confidence, severity or null) of a candidate; a null confidence turns it down.
-Verdict = tuple[Column, Column | None]
+#: struct (confidence, severity or null: the type's own) of a candidate; null turns it down.
+Verdict = Column
 
 
 def _if(ok: Column, confidence: float) -> Verdict:
-    return F.when(ok, F.lit(confidence)), None
+    return F.when(ok, F.struct(F.lit(confidence).alias("confidence"), F.lit(None).cast("string").alias("severity")))
 
 
 def _id_card(s: Span, as_of: Column | None) -> Verdict:
@@ -51,16 +51,23 @@ def _id_card(s: Span, as_of: Column | None) -> Verdict:
 
 
 def _bank_card(s: Span, as_of: Column | None) -> Verdict:
-    d = F.regexp_replace(s.match, "[ -]", "")
-    n = F.length(d)
-    card = F.when(n.between(15, 19) & ~d.rlike(r"^([0-9])\1+\z") & has_known_bin(d), luhn(d) & ~((n == 18) & is_valid_cn_id(d, as_of))).otherwise(False)
-    # The window is counted in UTF-16 units: of as many code points, the last CONTEXT_UNITS units.
+    def checked(d: Column) -> Column:
+        n = F.length(d)
+        identity = F.when(n == 18, is_valid_cn_id(d, as_of)).otherwise(False)
+        return F.when(n.between(15, 19) & ~d.rlike(r"^([0-9])\1+\z") & has_known_bin(d), luhn(d) & ~identity).otherwise(False)
+
+    def context(before: Column) -> Column:
+        # The window is counted in UTF-16 units: of as many code points, the last CONTEXT_UNITS units.
+        units = F.encode(before, "UTF-16BE")
+        cut = F.regexp_replace(F.decode(F.right(units, F.lit(2 * CONTEXT_UNITS)), "UTF-16BE"), "^\ufffd", "")
+        return F.when(F.octet_length(units) <= 2 * CONTEXT_UNITS, before).otherwise(cut).rlike(CARD_CONTEXT)
+
+    def strength(near: Column) -> Column:
+        bare = ~s.match.rlike("[ -]")
+        return F.struct(F.when(near, 0.9).when(bare, 0.5).otherwise(0.75).alias("confidence"), F.when(~near & bare, F.lit("medium")).alias("severity"))
+
     before = F.substring(s.text, F.greatest(s.start - (CONTEXT_UNITS - 1), F.lit(1)), F.least(s.start, F.lit(CONTEXT_UNITS)))
-    units = F.encode(before, "UTF-16BE")
-    window = F.when(F.octet_length(units) <= 2 * CONTEXT_UNITS, before).otherwise(F.regexp_replace(F.decode(F.right(units, F.lit(2 * CONTEXT_UNITS)), "UTF-16BE"), "^\ufffd", ""))
-    near = F.when(s.start > 0, window.rlike(CARD_CONTEXT)).otherwise(False)
-    bare = ~s.match.rlike("[ -]")
-    return F.when(card, F.when(near, 0.9).when(bare, 0.5).otherwise(0.75)), F.when(~near & bare, F.lit("medium"))
+    return F.when(let(F.regexp_replace(s.match, "[ -]", ""), checked), let(F.when(s.start > 0, let(before, context)).otherwise(False), strength))
 
 
 def _email(s: Span, as_of: Column | None) -> Verdict:
@@ -71,7 +78,7 @@ def _email(s: Span, as_of: Column | None) -> Verdict:
 CHECKS: dict[str, Callable[[Span, Column | None], Verdict]] = {
     "cn-id-card": _id_card,
     "bank-card": _bank_card,
-    "cn-mobile": lambda s, _: (F.lit(0.85), None),
+    "cn-mobile": lambda s, _: _if(F.lit(True), 0.85),
     "cn-uscc": lambda s, _: _if(is_valid_uscc(s.match), 0.9),
     "email": _email,
     "ipv4": lambda s, _: _if(~s.match.rlike(r"^(?:0|127|255)\."), 0.7),
@@ -104,6 +111,13 @@ class Pii:
         severity = dict(self.severity).get(kind, TYPES[kind][0])
         return ("medium" if kind == "bank-card" and severity == "low" else severity), top
 
+    def _emitter(self, kind: str, as_of: Column | None, usual: str) -> Callable[[Span], Column]:
+        def finding(s: Span, v: Column) -> Column:
+            made = raw_finding(f"pii.{kind}", "pii", F.coalesce(v["severity"], F.lit(usual)), v["confidence"], s.start, s.start + F.length(s.match), TYPES[kind][1])
+            return F.when(v.isNotNull(), made)
+
+        return lambda s: let(CHECKS[kind](s, as_of), lambda v: finding(s, v))
+
     def detect(self, text: Column, lower: Column, only: Iterable[str] | None = None) -> Column:
         as_of = F.lit(self.as_of).cast("timestamp") if self.as_of else None
         chosen = dict(self.severity)
@@ -112,12 +126,7 @@ class Pii:
             if only is not None and f"pii.{kind}" not in only:
                 continue
 
-            def emit(s: Span, kind=kind) -> Column:
-                confidence, severity = CHECKS[kind](s, as_of)
-                usual = F.lit(chosen.get(kind, TYPES[kind][0]))
-                finding = raw_finding(f"pii.{kind}", "pii", usual if severity is None else F.coalesce(severity, usual), confidence, s.start, s.start + F.length(s.match), TYPES[kind][1])
-                return F.when(confidence.isNotNull(), finding)
-
+            emit = self._emitter(kind, as_of, chosen.get(kind, TYPES[kind][0]))
             need = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(NEEDS[kind])
             out.append(found(text, PATTERNS[kind], emit, when=need))
         return F.concat(*out) if out else no_findings()

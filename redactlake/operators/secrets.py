@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from redactlake.functions.text import decode_base64, has_letter_and_digit, looks_like_code, looks_like_path_or_url, looks_like_version, shannon_entropy
-from redactlake.operators.spans import found
+from redactlake.operators.spans import found, let
 from redactlake.types import SEVERITY_RANK, Span, no_findings, raw_finding
 
 
@@ -138,30 +138,39 @@ class Secrets:
         own = rule in RULES or rule.validate is None
         return rule.top or (rule.severity if own else "critical"), rule.confidence if own else 1.0
 
+    def _emitter(self, rule: SecretRule) -> Callable[[Span], Column]:
+        def emit(s: Span) -> Column:
+            ok = F.length(s.match) > 0
+            if rule.entropy is not None:
+                ok &= shannon_entropy(s.match) >= rule.entropy
+            severity, confidence = F.lit(rule.severity), F.lit(rule.confidence)
+            verdict = rule.validate(s) if rule.validate else None
+            if isinstance(verdict, tuple):
+                severity, confidence = F.coalesce(verdict[0], severity), F.coalesce(verdict[1], confidence)
+            elif verdict is not None:
+                ok = F.when(ok, verdict).otherwise(False)
+            return F.when(ok, raw_finding(f"secret.{rule.id}", "secret", severity, confidence, s.start, s.start + F.length(s.match), rule.description))
+
+        return emit
+
     def detect(self, text: Column, lower: Column, only: Iterable[str] | None = None) -> Column:
-        out = []
-        for rule in self.rules():
-            if only is not None and f"secret.{rule.id}" not in only:
-                continue
-
-            def emit(s: Span, rule=rule) -> Column:
-                ok = F.length(s.match) > 0
-                if self.allowlist:
-                    ok &= ~s.match.isin(*self.allowlist)
-                ok &= ~is_placeholder(s.match, self.ignore_examples)
-                if rule.entropy is not None:
-                    ok &= shannon_entropy(s.match) >= rule.entropy
-                severity, confidence = F.lit(rule.severity), F.lit(rule.confidence)
-                verdict = rule.validate(s) if rule.validate else None
-                if isinstance(verdict, tuple):
-                    severity, confidence = F.coalesce(verdict[0], severity), F.coalesce(verdict[1], confidence)
-                elif verdict is not None:
-                    ok = F.when(ok, verdict).otherwise(False)
-                return F.when(ok, raw_finding(f"secret.{rule.id}", "secret", severity, confidence, s.start, s.start + F.length(s.match), rule.description))
-
-            near = reduce(lambda a, b: a | b, (F.contains(lower, F.lit(k)) for k in rule.keywords)) if rule.keywords else text.rlike("[0-9]{8}:") if rule.id == "telegram-bot-token" else None
-            out.append(found(text, rule.regex, emit, rule.secret_group, near))
-        return F.concat(*out) if out else no_findings()
+        chosen = [r for r in self.rules() if only is None or f"secret.{r.id}" in only]
+        if not chosen:
+            return no_findings()
+        found_all = F.concat(*(found(text, r.regex, self._emitter(r), r.secret_group, _worth(r, text, lower)) for r in chosen))
+
+        def real(secret: Column) -> Column:
+            ok = ~is_placeholder(secret, self.ignore_examples)
+            return ok & ~secret.isin(*self.allowlist) if self.allowlist else ok
+
+        return F.filter(found_all, lambda f: let(F.substring(text, f["start"] + 1, f["end"] - f["start"]), real))
+
+
+def _worth(rule: SecretRule, text: Column, lower: Column) -> Column | None:
+    """Whether the text holds one of the rule's keywords."""
+    if rule.id == "telegram-bot-token":
+        return text.rlike("[0-9]{8}:")
+    return reduce(lambda a, b: a | b, (F.contains(lower, F.lit(k)) for k in rule.keywords)) if rule.keywords else None
 
 
 def secrets(disable: Iterable[str] = (), allowlist: Iterable[str] = (), ignore_examples: bool = True, extra_rules: Iterable[SecretRule] = ()) -> Secrets:

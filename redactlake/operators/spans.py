@@ -8,7 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from redactlake.types import RAW_TYPE, Span
+from redactlake.types import Span, no_findings
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, also inside lambdas, where common subexpressions are not shared."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def last_place(match: Column, part: Column) -> Column:
@@ -22,21 +27,22 @@ def found(text: Column, pattern: str, emit: Callable[[Span], Column], group: int
 
     The pattern must not match the empty string.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
-    part = F.regexp_extract_all(text, F.lit(pattern), group) if group else whole
-    gaps = F.split(text, pattern, -1)
-    none = F.from_json(F.lit("[]"), RAW_TYPE)
-    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("g"), whole.alias("m"), part.alias("p"))
+    none = no_findings()
+
+    def fold(whole: Column) -> Column:
+        part = F.regexp_extract_all(text, F.lit(pattern), group) if group else whole
+        gaps = F.split(text, pattern, -1)
+        steps = F.zip_with(F.arrays_zip(whole.alias("m"), part.alias("p")), F.slice(gaps, F.lit(1), F.size(whole)), lambda x, g: F.struct(g.alias("g"), x["m"].alias("m"), x["p"].alias("p")))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda a: a["out"])
 
     def step(a: Column, x: Column) -> Column:
+        def placed(own: Column) -> Column:
+            append = lambda hit: F.when(hit.isNotNull(), F.array_append(a["out"], hit)).otherwise(a["out"])
+            return let(emit(Span(x["p"], own, text)), append)
+
         start = a["pos"] + F.length(x["g"])
-        own = start + (last_place(x["m"], x["p"]) if group else F.lit(0))
-        hit = emit(Span(x["p"], own, text))
-        return F.struct(
-            (start + F.length(x["m"])).alias("pos"),
-            F.when(hit.isNotNull(), F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"),
-        )
-
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda a: a["out"])
-    has = F.size(whole) > 0
-    return F.when(has if when is None else when & has, folded).otherwise(none)
+        own = start + last_place(x["m"], x["p"]) if group else start
+        return F.struct((start + F.length(x["m"])).alias("pos"), let(own, placed).alias("out"))
+
+    matched = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda w: F.when(F.size(w) > 0, fold(w)).otherwise(none))
+    return matched if when is None else F.when(when, matched).otherwise(none)

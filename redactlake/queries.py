@@ -1,10 +1,448 @@
-"""Queries over the driver tables, and the SQL that must give the same rows."""
+"""Queries over the driver tables, and the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from redactlake import functions as fn
+from redactlake.functions.checks import ID_CHECK, ID_WEIGHTS, USCC_ALPHABET, USCC_WEIGHTS
+from redactlake.operators.ahocorasick import AhoCorasick
+from redactlake.operators.deep import deep
+from redactlake.operators.keywords import KeywordList, keywords
+from redactlake.operators.normalize import Normalizer
+from redactlake.operators.pii import TYPES, pii
+from redactlake.operators.regex import RegexRule, regex_detector
+from redactlake.operators.resolve import masks
+from redactlake.operators.secrets import secrets
+from redactlake.plans.scanner import Pattern, Scanner, apply_redaction, dedupe_findings, python_masker
+from redactlake.sources.tables import table
+from redactlake.types import severity_rank
+
+AS_OF = "2026-01-01"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _scalar(name: str, tbl: str, key: str, value: str, column: Callable[[Column], Column], sql: str) -> None:
+    """A function of an SQL expression that both engines read alike."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _derived(spark, sf_dir, tbl).select(F.expr(key).cast("long").alias("key"), F.expr(value).alias("v"))
+        return df.select("key", column(F.col("v")).alias("value"))
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH t AS (SELECT CAST({key} AS BIGINT) AS key, {value} AS v FROM {_derived_sql(tbl)}) {sql}"
+
+
+# Expressions in the SQL that both engines share. Numbers get their check characters here.
+def _digits_sum(s: str, weights: tuple[int, ...]) -> str:
+    return "(" + " + ".join(f"CAST(substr({s}, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(weights)) + ")"
+
+
+#: Columns made from keys, step by step, each as SQL that both engines read alike.
+_CARD_SUM = "(" + " + ".join(f"CASE WHEN {15 - i} % 2 = 1 THEN (CAST(substr(c15, {i + 1}, 1) AS INT) * 2) % 10 + CASE WHEN CAST(substr(c15, {i + 1}, 1) AS INT) > 4 THEN 1 ELSE 0 END ELSE CAST(substr(c15, {i + 1}, 1) AS INT) END" for i in range(15)) + ")"
+_USCC_SUM = "(" + " + ".join(f"(instr('{USCC_ALPHABET}', substr(u17, {i + 1}, 1)) - 1) * {w}" for i, w in enumerate(USCC_WEIGHTS)) + ")"
+_STEPS: dict[str, list[dict[str, str]]] = {
+    "orders": [
+        {"i17": "'440306' || CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS STRING) || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0')"},
+        {"i18": f"i17 || substr('{ID_CHECK}', CAST({_digits_sum('i17', ID_WEIGHTS)} % 11 AS INT) + 1, 1)"},
+        {"shown": "CASE WHEN o_orderkey % 3 = 0 THEN i17 || '5' WHEN o_orderkey % 7 = 0 THEN lower(i18) WHEN o_orderkey % 11 = 0 THEN '44030620230231' || substr(i18, 15, 4) ELSE i18 END"},
+    ],
+    "customer": [
+        {
+            "u17": "'91440300MA5F' || lpad(CAST(c_custkey % 100000 AS STRING), 5, '0')",
+            "c15": "'62220210' || lpad(CAST(c_custkey * 7919 % 10000000 AS STRING), 7, '0')",
+            "phone": "'13' || lpad(CAST(c_custkey * 104729 % 1000000000 AS STRING), 9, '0')",
+            "h": "md5(CAST(c_custkey AS STRING)) || md5('x' || CAST(c_custkey AS STRING)) || md5('y' || CAST(c_custkey AS STRING))",
+        },
+        {
+            "u18": f"u17 || substr('{USCC_ALPHABET}', CAST((31 - {_USCC_SUM} % 31) % 31 AS INT) + 1, 1)",
+            "c16": f"c15 || CAST((10 - {_CARD_SUM} % 10) % 10 AS STRING)",
+        },
+        {
+            "code": "CASE WHEN c_custkey % 4 = 0 THEN u17 || 'A' ELSE u18 END",
+            "card": "CASE WHEN c_custkey % 3 = 0 THEN substr(c16, 1, 4) || ' ' || substr(c16, 5, 4) || '-' || substr(c16, 9, 4) || ' ' || substr(c16, 13, 4) WHEN c_custkey % 5 = 0 THEN substr(c16, 1, 15) || 'x' ELSE c16 END",
+        },
+    ],
+}
+
+
+def _derived_sql(tbl: str) -> str:
+    out = tbl
+    for step in _STEPS.get(tbl, []):
+        out = f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM {out})"
+    return out
+
+
+def _derived(spark: SparkSession, sf_dir: str, tbl: str) -> DataFrame:
+    df = table(spark, sf_dir, tbl)
+    for step in _STEPS.get(tbl, []):
+        df = df.selectExpr("*", *(f"{e} AS {n}" for n, e in step.items()))
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # else the steps are written into one another
+    return df
+
+
+_CARD_MESSAGE = "CASE WHEN c_custkey % 2 = 0 THEN '我的银行卡号是 ' ELSE 'order no. and then some more words ' END || card || ' 。'"
+_MOBILE_MESSAGE = "CASE WHEN c_custkey % 4 = 0 THEN '联系我 +86 ' || substr(phone, 1, 3) || ' ' || substr(phone, 4, 4) || ' ' || substr(phone, 8, 4) || ' 谢谢' WHEN c_custkey % 4 = 1 THEN 'call ' || phone || '.' WHEN c_custkey % 4 = 2 THEN 'no. 7' || phone || ' is none' ELSE '86-' || substr(phone, 1, 3) || '-' || substr(phone, 4, 4) || '-' || substr(phone, 8, 4) END"
+_LUHN = "(list_sum(list_transform(range(1, len({d}) + 1), lambda i: CASE WHEN (len({d}) - i) % 2 = 1 THEN (CAST(substr({d}, i, 1) AS INT) * 2) % 10 + CASE WHEN substr({d}, i, 1) > '4' THEN 1 ELSE 0 END ELSE CAST(substr({d}, i, 1) AS INT) END)) % 10 = 0)"
+_BIN = "regexp_matches({d}, '^(?:62|81|4|5[1-5]|2(?:2[2-9]|[3-6][0-9]|7[01]|720)|3[47]|35|6011|65)')"
+_ID_OK = (
+    "(regexp_matches({d}, '^[0-9]{{17}}[0-9Xx]$') AND coalesce(try_strptime(substr({d}, 7, 8), '%Y%m%d') <= TIMESTAMP '" + AS_OF + "', false) AND substr({d}, 7, 4) >= '1900' AND substr('" + ID_CHECK + "', CAST((" + " + ".join(f"coalesce(try_cast(substr({{d}}, {i + 1}, 1) AS INT), 0) * {w}" for i, w in enumerate(ID_WEIGHTS)) + ") % 11 AS INT) + 1, 1) = upper(substr({d}, 18, 1)))"
+)
+_USCC_OK = (
+    "(regexp_matches({d}, '^[0-9A-HJ-NPQRTUWXY]{{2}}[0-9]{{6}}[0-9A-HJ-NPQRTUWXY]{{10}}$') AND substr('" + USCC_ALPHABET + "', CAST((31 - (" + " + ".join(f"(instr('{USCC_ALPHABET}', substr({{d}}, {i + 1}, 1)) - 1) * {w}" for i, w in enumerate(USCC_WEIGHTS)) + ") % 31) % 31 AS INT) + 1, 1) = substr({d}, 18, 1))"
+)
+
+_scalar("shannon_entropy", "part", "p_partkey", "p_name", lambda v: F.round(fn.shannon_entropy(v), 6), "SELECT key, round(entropy(c), 6) AS value FROM (SELECT key, unnest(string_split(v, '')) AS c FROM t) GROUP BY key")
+_scalar("char_class_count", "part", "p_partkey", "p_name || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'x1' END", fn.char_class_count, "SELECT key, CAST(regexp_matches(v, '[a-z]') AS INT) + CAST(regexp_matches(v, '[A-Z]') AS INT) + CAST(regexp_matches(v, '[0-9]') AS INT) + CAST(regexp_matches(v, '[^A-Za-z0-9]') AS INT) AS value FROM t")
+_scalar("mask_preview", "customer", "c_custkey", "substr(c_name || c_name || c_name, 1, CAST(c_custkey % 50 AS INT))", fn.mask_preview, "SELECT key, CASE WHEN len(v) < 8 THEN '********' ELSE left(v, least(4, len(v) // 8)) || '…' || right(v, least(4, len(v) // 8)) END AS value FROM t")
+_scalar("clamp01", "customer", "c_custkey", "c_acctbal / 5000", fn.clamp01, "SELECT key, greatest(0.0, least(1.0, v)) AS value FROM t")
+_scalar("severity_rank", "orders", "o_orderkey", "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' ELSE 'low' END", severity_rank, "SELECT key, CASE v WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END AS value FROM t")
+_scalar("luhn_check", "orders", "o_orderkey", "lpad(CAST(o_orderkey * 7919 AS STRING), 16, '4')", fn.luhn, f"SELECT key, {_LUHN.format(d='v')} AS value FROM t")
+_scalar("known_bin", "orders", "o_orderkey", "CAST(o_orderkey * 104729 % 10000000 AS STRING)", fn.has_known_bin, f"SELECT key, {_BIN.format(d='v')} AS value FROM t")
+_scalar("cn_id_valid", "orders", "o_orderkey", "shown", lambda v: fn.is_valid_cn_id(v, F.lit(AS_OF).cast("timestamp")), f"SELECT key, {_ID_OK.format(d='v')} AS value FROM t")
+_scalar("uscc_valid", "customer", "c_custkey", "code", fn.is_valid_uscc, f"SELECT key, {_USCC_OK.format(d='v')} AS value FROM t")
+_VERSION = "CASE p_partkey % 6 WHEN 0 THEN '^1.2.' || CAST(p_size AS STRING) WHEN 1 THEN 'v18.' || CAST(p_size AS STRING) || '-rc.1' WHEN 2 THEN '>=' || CAST(p_size AS STRING) WHEN 3 THEN p_brand WHEN 4 THEN '~5.' || CAST(p_size AS STRING) ELSE CAST(p_size AS STRING) || '.0.0.x' END"
+_scalar("looks_like_version", "part", "p_partkey", _VERSION, fn.looks_like_version, r"SELECT key, regexp_matches(v, '^(?:[~^]|[<>]=?|=)?v?[0-9]+(?:\.[0-9]+)+(?:[-+][A-Za-z0-9_.]+)?$') AS value FROM t")
+_PATH = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN '../' || CAST(page_id AS STRING) WHEN 2 THEN '~/x' WHEN 3 THEN 'x/' || url ELSE 'a' || CAST(page_id AS STRING) END"
+_scalar("looks_like_path_or_url", "pages", "page_id", _PATH, fn.looks_like_path_or_url, r"SELECT key, regexp_matches(v, '^(?:\.{0,2}/|~/|[A-Za-z]:\\)') OR contains(v, '://') AS value FROM t")
+_CODE = "CASE p_partkey % 6 WHEN 0 THEN 'req.body.password' WHEN 1 THEN 'getToken()' WHEN 2 THEN 'Password' WHEN 3 THEN 'a?.b[0]!' WHEN 4 THEN 'abc' || CAST(p_partkey AS STRING) ELSE 'x!.y)' END"
+_scalar("looks_like_code", "part", "p_partkey", _CODE, lambda v: fn.looks_like_code(v, F.lit(";")), r"SELECT key, contains(v, '(') OR regexp_matches(regexp_replace(v, '[)\]}!]+$', ''), '^[A-Za-z_$][A-Za-z0-9_$]*(?:!?\??\.[A-Za-z_$][A-Za-z0-9_$]*|\[[^\]]*\])+$') OR regexp_matches(regexp_replace(v, '[)\]}!]+$', ''), '^[A-Za-z_$]+$') AS value FROM t")
+_scalar("has_letter_and_digit", "part", "p_partkey", "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END", fn.has_letter_and_digit, "SELECT key, regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AS value FROM t")
+
+
+def _base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.translate(F.base64(F.col("c_name").cast("binary")), "+/=", "-_").alias("v"))
+    odd = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("!"), F.col("v"))).otherwise(F.col("v"))
+    return df.select(F.col("c_custkey").alias("key"), fn.decode_base64(odd).alias("value"))
+
+
+QUERIES["decode_base64"] = _base64
+SQL["decode_base64"] = "SELECT c_custkey AS key, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS value FROM customer"
+
+# Spans with look-around in RE2: the text gets a leading line end, boundaries are consumed, and the search goes on at a
+# match's last character, the next one's left context.
+_CORE = {
+    "email": (r"[^A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}", r"[^A-Za-z0-9-]"),
+    "ipv4": (r"[^0-9.]", r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])", r"[^0-9.]"),
+    "bank-card": (r"[^0-9]", r"(?:[0-9][ -]?){14,18}[0-9]", r"[^0-9]"),
+    "cn-mobile": (r"[^0-9]", r"(?:(?:\+|00)?86[ -]?)?1[3-9][0-9](?:[ -]?[0-9]{4}){2}", r"[^0-9]"),
+    "cn-id-card": (r"[^0-9A-Za-z]", r"[1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]", r"[^0-9A-Za-z]"),
+    "cn-uscc": (r"[^0-9A-Z]", r"[0-9A-HJ-NPQRTUWXY]{2}[0-9]{6}[0-9A-HJ-NPQRTUWXY]{10}", r"[^0-9A-Z]"),
+}
+_D = "regexp_replace(m, '[ -]', '', 'g')"
+_CARD_NEAR = "regexp_matches(substr(t, greatest(s - 23, 1), least(s, 24)), '(?i)(?:卡号|银行卡|信用卡|借记卡|储蓄卡|card|visa|mastercard|unionpay|银联|账号|帐号)')"
+_KEPT = {
+    "email": r"NOT regexp_matches(lower(split_part(m, '@', 2)), '^(?:example\.(?:com|org|net)|test\.com|localhost)$')",
+    "ipv4": r"NOT regexp_matches(m, '^(?:0|127|255)\.')",
+    "bank-card": f"len({_D}) BETWEEN 15 AND 19 AND {_D} <> repeat(left({_D}, 1), len({_D})) AND {_BIN.format(d=_D)} AND {_LUHN.format(d=_D)} AND NOT (len({_D}) = 18 AND {_ID_OK.format(d=_D)})",
+    "cn-mobile": "true",
+    "cn-id-card": _ID_OK.format(d="m"),
+    "cn-uscc": _USCC_OK.format(d="m"),
+}
+_CONFIDENCE = {"email": "0.95", "ipv4": "0.7", "cn-mobile": "0.85", "cn-id-card": "0.95", "cn-uscc": "0.9", "bank-card": f"CASE WHEN s > 0 AND {_CARD_NEAR} THEN 0.9 WHEN regexp_matches(m, '[ -]') THEN 0.75 ELSE 0.5 END"}
+_SEVERITY = {k: f"'{s}'" for k, (s, _) in TYPES.items()} | {"bank-card": f"CASE WHEN NOT (s > 0 AND {_CARD_NEAR}) AND NOT regexp_matches(m, '[ -]') THEN 'medium' ELSE 'high' END"}
+
+
+def _raw_sql(source: str, kinds: list[str]) -> str:
+    """CTEs up to `raw` (key, t, rule_id, severity, rank, confidence, s, e, m, ord)."""
+    parts = [f"WITH RECURSIVE src AS ({source})"]
+    for n, kind in enumerate(kinds):
+        left, core, right = _CORE[kind]
+        p = f"'^((?s:.*?){left})({core})(?:{right}|$)'"
+        parts.append(
+            f"i{n} AS (SELECT key, t, chr(10) || t AS rest, -1 AS base, CAST(NULL AS VARCHAR) AS m, CAST(NULL AS BIGINT) AS s, 0 AS ord FROM src "
+            f"UNION ALL SELECT key, t, substr(rest, len(g.a) + len(g.b)), base + len(g.a) + len(g.b) - 1, g.b, base + len(g.a), ord + 1 "
+            f"FROM (SELECT *, regexp_extract(rest, {p}, ['a', 'b']) AS g FROM i{n}) WHERE g.b <> '')"
+        )
+    unions = " UNION ALL ".join(f"SELECT key, t, 'pii.{k}' AS rule_id, {_SEVERITY[k]} AS severity, CAST({_CONFIDENCE[k]} AS DOUBLE) AS confidence, s, s + len(m) AS e, m, {n} * 1000000 + ord AS ord FROM i{n} WHERE m IS NOT NULL AND {_KEPT[k]}" for n, k in enumerate(kinds))
+    parts.append(f"found AS ({unions})")
+    parts.append("raw AS (SELECT *, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS rank FROM found)")
+    return ",\n".join(parts)
+
+
+#: CTEs from `chosen` (as raw) to `kept`, without overlaps.
+_DEDUPE_SQL = """,
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank DESC, confidence DESC, e - s DESC, s, ord) AS rn FROM chosen),
+    fold AS (
+        SELECT key, rn, [{'s': s, 'e': e}] AS taken, true AS keep FROM ordered WHERE rn = 1
+        UNION ALL
+        SELECT o.key, o.rn, CASE WHEN len(list_filter(f.taken, lambda k: o.s < k.e AND k.s < o.e)) = 0 THEN list_append(f.taken, {'s': o.s, 'e': o.e}) ELSE f.taken END, len(list_filter(f.taken, lambda k: o.s < k.e AND k.s < o.e)) = 0
+        FROM fold f JOIN ordered o ON o.key = f.key AND o.rn = f.rn + 1
+    ),
+    kept AS (SELECT o.* FROM ordered o JOIN fold f USING (key, rn) WHERE f.keep)
+"""
+_PREVIEW = "CASE WHEN len(m) < 8 THEN '********' ELSE left(m, least(4, len(m) // 8)) || '…' || right(m, least(4, len(m) // 8)) END"
+_OUT = f"SELECT key, rule_id, severity, confidence, CAST(s AS INT) AS start, CAST(e AS INT) AS \"end\", {_PREVIEW} AS preview"
+_DOCUMENTS = "SELECT doc_id AS key, text AS t FROM documents"
+_DOC_KINDS = ["bank-card", "email", "ipv4"]
+ALL = tuple(TYPES)
+
+
+def _flat(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("key", F.col("ruleId").alias("rule_id"), "severity", "confidence", "start", "end", "preview", *more)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("text"))
+
+
+def _messages(tbl: str, key: str, expression: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _derived(spark, sf_dir, tbl).select(F.col(key).cast("long").alias("key"), F.expr(expression).alias("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _pii(*kinds: str, **options):
+    return pii(include=kinds, as_of=AS_OF, **options)
+
+
+def _single(name: str, kind: str, source: Callable, source_sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _flat(Scanner([_pii(kind)]).findings(source(spark, sf_dir), "key"))
+    SQL[name] = _raw_sql(source_sql, [kind]) + f" {_OUT} FROM raw"
+
+
+_single("pii_email", "email", _documents, _DOCUMENTS)
+_single("pii_ipv4", "ipv4", _documents, _DOCUMENTS)
+_single("pii_bank_card", "bank-card", _documents, _DOCUMENTS)
+_single("pii_email_pages", "email", _pages, "SELECT page_id AS key, html AS t FROM pages")
+_ID_MESSAGE = "'身份证 ' || shown || ' 请核对'"
+for _name, _kind, _tbl, _key, _text in (
+    ("pii_cn_mobile", "cn-mobile", "customer", "c_custkey", _MOBILE_MESSAGE),
+    ("pii_cn_id_card", "cn-id-card", "orders", "o_orderkey", _ID_MESSAGE),
+    ("pii_cn_uscc", "cn-uscc", "customer", "c_custkey", "'统一社会信用代码：' || code"),
+    ("pii_bank_card_context", "bank-card", "customer", "c_custkey", _CARD_MESSAGE),
+):
+    _single(_name, _kind, _messages(_tbl, _key, _text), f"SELECT CAST({_key} AS BIGINT) AS key, {_text} AS t FROM {_derived_sql(_tbl)}")
+
+
+def _scan(name: str, sql_filter: str, deduped: bool = True, columns: str = "", **options) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = Scanner([_pii(*ALL)], dedupe=deduped, **options).findings(_documents(spark, sf_dir), "key")
+        return _flat(found, *([F.col("match").alias("match")] if options.get("include_match") else []))
+
+    QUERIES[name] = run
+    head = _raw_sql(_DOCUMENTS, list(TYPES)) + f", chosen AS (SELECT * FROM raw WHERE {sql_filter})"
+    SQL[name] = head + (_DEDUPE_SQL if deduped else "") + f" {_OUT}{columns} FROM {'kept' if deduped else 'chosen'}"
+
+
+_scan("scan_pii_all", "true")
+_scan("scan_min_severity", "rank >= 2", min_severity="medium")
+_scan("scan_min_confidence", "confidence >= 0.7", min_confidence=0.7)
+_scan("scan_disable_rules", "rule_id <> 'pii.ipv4' AND NOT starts_with(rule_id, 'pii.bank')", disable_rules=["pii.ipv4", "pii.bank*"])
+_scan("scan_allowlist", "NOT regexp_matches(m, '^4|@mail1')", allowlist=["nothing equal", Pattern("^4|@mail1")])
+_scan("scan_no_dedupe", "true", deduped=False)
+_scan("include_match", "true", columns=", m AS match", include_match=True)
+
+
+@query("has_sensitive", _raw_sql(_DOCUMENTS, list(TYPES)) + " SELECT key, key IN (SELECT key FROM raw WHERE rank >= 2) AS sensitive FROM src")
+def has_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Scanner([_pii(*ALL)]).has_sensitive_sync(_documents(spark, sf_dir), min_severity="medium").select("key", "sensitive")
+
+
+def _mask(name: str, mask, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = Scanner([_pii(*ALL)]).redact_sync(_documents(spark, sf_dir), mask=mask)
+        return out.select("key", F.col("text_redacted").alias("redacted"), F.size("findings").cast("long").alias("n"))
+
+    QUERIES[name] = run
+    SQL[name] = (
+        _raw_sql(_DOCUMENTS, list(TYPES))
+        + ", chosen AS (SELECT * FROM raw)"
+        + _DEDUPE_SQL
+        + f""", parts AS (SELECT key, s, e, substr(t, coalesce(lag(e) OVER w, 0) + 1, s - coalesce(lag(e) OVER w, 0)) || {sql} AS piece FROM kept WINDOW w AS (PARTITION BY key ORDER BY s)),
+        whole AS (SELECT key, string_agg(piece, '' ORDER BY s) AS front, max(e) AS last, count(*) AS n FROM parts GROUP BY key)
+        SELECT src.key, coalesce(front || substr(t, last + 1), t) AS redacted, coalesce(n, 0) AS n FROM src LEFT JOIN whole ON src.key = whole.key"""
+    )
+
+
+_mask("mask_label", masks.label, "'[REDACTED:' || rule_id || ']'")
+_mask("mask_plain", masks.plain, "'[REDACTED]'")
+_mask("mask_char", masks.char("#"), "repeat('#', len(m))")
+_mask("mask_partial", masks.partial(4, 2), "CASE WHEN len(m) <= 6 THEN repeat('*', len(m)) ELSE left(m, 4) || repeat('*', len(m) - 6) || right(m, 2) END")
+
+# Overlapping findings made from line items: places by quantity, strengths by tax and discount.
+_MADE = "l_orderkey AS key, 'r' || CAST(l_linenumber AS STRING) AS rule, CASE CAST(l_tax * 100 AS INT) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END AS severity, l_discount AS confidence, CAST(l_quantity AS INT) AS s, CAST(l_quantity AS INT) + 1 + CAST(l_partkey % 12 AS INT) AS e, l_linenumber AS ord"
+
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.expr("named_struct('ord', l_linenumber, 'q', l_quantity, 'p', l_partkey, 'ruleId', 'r' || CAST(l_linenumber AS STRING), 'severity', CASE CAST(l_tax * 100 AS INT) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END, 'confidence', l_discount, 'start', CAST(l_quantity AS INT), 'end', CAST(l_quantity AS INT) + 1 + CAST(l_partkey % 12 AS INT))").alias("f"), F.col("l_orderkey").alias("key"))
+    return rows.groupBy("key").agg(F.array_sort(F.collect_list("f")).alias("findings"))
+
+
+_MADE_SQL = f"WITH RECURSIVE chosen AS (SELECT *, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END AS rank FROM (SELECT * EXCLUDE (ord, lq, lp), row_number() OVER (PARTITION BY key ORDER BY ord, lq, lp) AS ord FROM (SELECT {_MADE}, l_quantity AS lq, l_partkey AS lp FROM lineitem)))"
+
+
+@query("dedupe_findings", _MADE_SQL + _DEDUPE_SQL + " SELECT key, rule, s AS start, e AS \"end\" FROM kept")
+def dedupe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_findings(_made(spark, sf_dir)).select("key", F.explode("findings").alias("f")).select("key", F.col("f.ruleId").alias("rule"), "f.start", "f.end")
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-----"
+
+
+@query(
+    "apply_redaction",
+    _MADE_SQL
+    + _DEDUPE_SQL
+    + f""", parts AS (SELECT key, s, e, substr('{_LETTERS}', coalesce(lag(e) OVER w, 0) + 1, s - coalesce(lag(e) OVER w, 0)) || '[REDACTED:' || rule || ']' AS piece FROM kept WINDOW w AS (PARTITION BY key ORDER BY s))
+    SELECT key, string_agg(piece, '' ORDER BY s) || substr('{_LETTERS}', max(e) + 1) AS redacted FROM parts GROUP BY key""",
+)
+def apply_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _made(spark, sf_dir).withColumn("text", F.lit(_LETTERS))
+    return apply_redaction(df, to="redacted").select("key", "redacted")
+
+
+@query(
+    "regex_detector",
+    """WITH RECURSIVE i AS (
+        SELECT doc_id AS key, text AS rest, 0 AS base, CAST(NULL AS VARCHAR) AS m, CAST(NULL AS BIGINT) AS s FROM documents
+        UNION ALL
+        SELECT key, substr(rest, len(g.a) + len(g.b) + 1), base + len(g.a) + len(g.b), g.b, base + len(g.a)
+        FROM (SELECT *, regexp_extract(rest, '^((?s:.*?))(token = "[0-9a-f]{40}")', ['a', 'b']) AS g FROM i) WHERE g.b <> ''
+    ) SELECT key, 'corp.token' AS rule_id, 'high' AS severity, CAST(0.8 AS DOUBLE) AS confidence, CAST(s AS INT) AS start, CAST(s + len(m) AS INT) AS "end", left(m, 4) || '…' || right(m, 4) AS preview FROM i WHERE m IS NOT NULL""",
+)
+def regex_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = regex_detector("corp", [RegexRule("corp.token", 'token = "[0-9a-f]{40}"', severity="high")])
+    return _flat(Scanner([found]).findings(_documents(spark, sf_dir), "key"))
+
+
+@query(
+    "secret_generic_api_key",
+    """WITH RECURSIVE i AS (
+        SELECT doc_id AS key, text AS rest, 0 AS base, CAST(NULL AS VARCHAR) AS m, CAST(NULL AS BIGINT) AS s FROM documents
+        UNION ALL
+        SELECT key, substr(rest, len(g.a) + len(g.b) + 1), base + len(g.a) + len(g.b), g.b, base + len(g.a)
+        FROM (SELECT *, regexp_extract(rest, '^((?s:.*?)(?i:api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|secret[_-]?key|secret|token)["'']?\\s{0,3}(?:[=:：]|是|为|is)\\s{0,3}["'']?)([A-Za-z0-9_.~+/=-]{16,256})', ['a', 'b']) AS g FROM i) WHERE g.b <> ''
+    ) SELECT key, 'secret.generic-api-key' AS rule_id, 'high' AS severity, CAST(0.7 AS DOUBLE) AS confidence, CAST(s AS INT) AS start, CAST(s + len(m) AS INT) AS "end", left(m, least(4, len(m) // 8)) || '…' || right(m, least(4, len(m) // 8)) AS preview
+    FROM i WHERE m IS NOT NULL AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[0-9]')""",
+)
+def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(Scanner([secrets()]).findings(_documents(spark, sf_dir), "key"))
+
+
+# Messages with tokens of known shapes, put together from hashes of keys: (rule, severity, confidence, before, secret, after).
+_TOKENS = [
+    ("github-token", "critical", 0.97, "use ", "'gh' || 'p_' || substr(h, 1, 36)", " now"),
+    ("gitlab-token", "critical", 0.97, "CI ", "'gl' || 'pat-' || substr(h, 1, 20)", "，"),
+    ("npm-token", "critical", 0.97, "//registry ", "'np' || 'm_' || substr(h, 1, 36)", ""),
+    ("shopify-token", "high", 0.97, "shop ", "'shp' || 'at_' || substr(h, 1, 32)", " end"),
+    ("huggingface-token", "high", 0.97, "hub ", "'h' || 'f_' || substr(h, 1, 34)", ")"),
+    ("stripe-key", "critical", 0.97, "pay ", "'sk' || '_live_' || substr(h, 1, 24)", ";"),
+    ("stripe-key", "medium", 0.97, "pay ", "'sk' || '_test_' || substr(h, 1, 24)", ";"),
+    ("sk-api-key", "critical", 0.95, "OPENAI_API_KEY=", "'s' || 'k-' || substr(h, 1, 40)", " ok"),
+    ("connection-string-password", "critical", 0.9, "DATABASE_URL=postgres://admin:", "substr(h, 1, 11)", "@db:5432/app"),
+    ("generic-password", "high", 0.7, "服务器密码：", "substr(h, 1, 12) || '!'", "，"),
+    ("bearer-token", "high", 0.85, "Authorization: Bearer ", "substr(h, 1, 48)", ""),
+]
+_TOKEN_TEXT = f"CASE c_custkey % {len(_TOKENS)} " + " ".join(f"WHEN {i} THEN '{before}' || {secret} || '{after}'" for i, (_, _, _, before, secret, after) in enumerate(_TOKENS)) + " END"
+
+
+def _by_token(k: int, quote: str = "'") -> str:
+    return f"CASE key % {len(_TOKENS)} " + " ".join(f"WHEN {i} THEN {quote}{('secret.' if k == 0 else '') + str(x[k])}{quote}" for i, x in enumerate(_TOKENS)) + " END"
+
+
+@query(
+    "secret_tokens",
+    f"""WITH h AS (SELECT c_custkey AS key, h FROM {_derived_sql('customer')}),
+    p AS (SELECT key, CASE key % {len(_TOKENS)} {' '.join(f"WHEN {i} THEN {s}" for i, (_, _, _, _, s, _) in enumerate(_TOKENS))} END AS m, CASE key % {len(_TOKENS)} {' '.join(f"WHEN {i} THEN {len(b)}" for i, (_, _, _, b, _, _) in enumerate(_TOKENS))} END AS s FROM h)
+    SELECT key, {_by_token(0)} AS rule_id, {_by_token(1)} AS severity, CAST({_by_token(2, '')} AS DOUBLE) AS confidence, CAST(s AS INT) AS start, CAST(s + len(m) AS INT) AS "end", {_PREVIEW} AS preview FROM p""",
+)
+def tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _derived(spark, sf_dir, "customer").selectExpr("c_custkey AS key", f"{_TOKEN_TEXT} AS text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _flat(Scanner([secrets()]).findings(df, "key"))
+
+
+_NOISE = "' ' || chr(9) || chr(10) || chr(13) || '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~' || '·•‧∙、，。！？；：…—～·「」『』（）《》【】〈〉“”‘’'"
+#: CTEs up to `hits` (key, word, s, e of the folded text) and `spot` (places of folded characters in the text).
+_KEYWORD_SQL = f"""WITH letters AS (
+        SELECT key, unnest(string_split(lower(t), '')) AS ch, generate_subscripts(string_split(lower(t), ''), 1) AS pos FROM (SELECT doc_id AS key, text AS t FROM documents)
+    ), spot AS (SELECT key, ch, pos, row_number() OVER (PARTITION BY key ORDER BY pos) AS n FROM letters WHERE NOT contains({_NOISE}, ch)),
+    folded AS (SELECT key, string_agg(ch, '' ORDER BY n) AS t FROM spot GROUP BY key),
+    starts AS (SELECT key, t, w.word, w.label, w.severity, unnest(list_filter(range(1, len(t) + 1), lambda i: substr(t, i, len(w.word)) = w.word)) AS s FROM folded, words w WHERE contains(t, w.word))"""
+
+
+def _keyword(name: str, lists: list[KeywordList], boundary: bool, exceptions: tuple[str, ...] = ()) -> None:
+    rows = ", ".join(f"('{w}', '{x.label}', '{x.severity}')" for x in lists for w in x.words)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = keywords(lists=lists, ascii_word_boundary=boundary, exceptions=exceptions)
+        out = Scanner([found], dedupe=False).findings(_documents(spark, sf_dir), "key")
+        return out.select("key", F.col("ruleId").alias("rule_id"), "severity", "start", "end", "tag")
+
+    QUERIES[name] = run
+    cover = " AND ".join(f"NOT len(list_filter(range(1, len(t) + 1), lambda i: substr(t, i, {len(x)}) = '{x}' AND i <= h.s AND i + {len(x)} >= h.s + len(h.word))) > 0" for x in exceptions) or "true"
+    edge = "NOT (b.pos > 1 AND regexp_matches(substr(d.text, b.pos - 1, 1), '[A-Za-z0-9]')) AND NOT regexp_matches(substr(d.text, l.pos + 1, 1), '[A-Za-z0-9]')" if boundary else "true"
+    SQL[name] = (
+        _KEYWORD_SQL.replace("WITH letters", f"WITH words(word, label, severity) AS (VALUES {rows}), letters", 1)
+        + f""" SELECT h.key, 'keyword.' || h.label AS rule_id, h.severity, CAST(b.pos - 1 AS INT) AS start, CAST(l.pos AS INT) AS "end", h.label AS tag
+        FROM starts h JOIN spot b ON b.key = h.key AND b.n = h.s JOIN spot l ON l.key = h.key AND l.n = h.s + len(h.word) - 1 JOIN documents d ON d.doc_id = h.key
+        WHERE {cover} AND {edge}"""
+    )
+
+
+_LISTS = [KeywordList("codenames", ("thor", "ingea", "onthe"), "high"), KeywordList("other", ("thor", "tionand"), "low")]
+_keyword("keywords_basic", _LISTS, False)
+_keyword("keywords_word_boundary", _LISTS, True)
+_keyword("keywords_exceptions", _LISTS, False, ("thorin", "onthean"))
+
+
+@query("normalize_text", _KEYWORD_SQL.split(",\n    starts")[0] + " SELECT key, t AS folded FROM folded")
+def normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that compatibility folding leaves as they are."""
+    @F.pandas_udf("string")
+    def fold(s: pd.Series) -> pd.Series:
+        n = Normalizer()
+        return s.map(n.text, na_action="ignore")
+
+    return _documents(spark, sf_dir).select("key", fold("text").alias("folded"))
+
+
+@query(
+    "ahocorasick_search",
+    """WITH words AS (SELECT * FROM (VALUES (0, 'he'), (1, 'she'), (2, 'his'), (3, 'hers'), (4, 'the')) v(pattern, word))
+    SELECT item_id AS key, pattern, CAST(s - 1 AS INT) AS start, CAST(s - 1 + len(word) AS INT) AS "end"
+    FROM (SELECT item_id, pattern, word, unnest(list_filter(range(1, len(text) + 1), lambda i: substr(text, i, len(word)) = word)) AS s FROM benchmark, words)""",
+)
+def search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("array<struct<pattern:int,start:int,end:int>>")
+    def search(s: pd.Series) -> pd.Series:
+        found = AhoCorasick(["he", "she", "his", "hers", "the"])
+        return s.map(lambda t: [vars(m) for m in found.search(t)])
+
+    df = table(spark, sf_dir, "benchmark").where(F.col("text").isNotNull())
+    return df.select(F.col("item_id").alias("key"), F.explode(search("text")).alias("m")).select("key", "m.*")
+
+
+@query("deep_detector")
+def deep_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _derived(spark, sf_dir, "customer").selectExpr("c_custkey AS key", f"{_TOKEN_TEXT} AS text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _flat(Scanner([secrets(), deep()]).findings(df, "key", everything=True))
+
+
+@query("custom_masker")
+def masker_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = Scanner([_pii(*ALL)]).scan_sync(_documents(spark, sf_dir))
+    return python_masker(lambda rule, original: f"<{rule}:{len(original)}>")(df, "text", "findings", "redacted").select("key", "redacted")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents, a row per finding."""
+    return QUERIES["scan_pii_all"](spark, sf_dir)

@@ -388,7 +388,7 @@ def _keyword(name: str, lists: list[KeywordList], boundary: bool, exceptions: tu
         return out.select("key", F.col("ruleId").alias("rule_id"), "severity", "start", "end", "tag")
 
     QUERIES[name] = run
-    cover = " AND ".join(f"NOT len(list_filter(range(1, len(t) + 1), lambda i: substr(t, i, {len(x)}) = '{x}' AND i <= h.s AND i + {len(x)} >= h.s + len(h.word))) > 0" for x in exceptions) or "true"
+    cover = " AND ".join(f"len(list_filter(range(CAST(greatest(1, h.s + len(h.word) - {len(x)}) AS BIGINT), CAST(h.s + 1 AS BIGINT)), lambda i: substr(h.t, i, {len(x)}) = '{x}')) = 0" for x in exceptions) or "true"
     edge = "NOT (b.pos > 1 AND regexp_matches(substr(d.text, b.pos - 1, 1), '[A-Za-z0-9]')) AND NOT regexp_matches(substr(d.text, l.pos + 1, 1), '[A-Za-z0-9]')" if boundary else "true"
     SQL[name] = (
         _KEYWORD_SQL.replace("WITH letters", f"WITH words(word, label, severity) AS (VALUES {rows}), letters", 1)

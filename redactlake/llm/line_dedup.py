@@ -64,7 +64,7 @@ def _hashes(df: DataFrame, doc: str, text: str, min_chars: int) -> DataFrame:
 
 def _judged(sorted_rows: DataFrame, min_docs: int | None, kind: str) -> DataFrame:
     """Streams each sorted partition. `drop`: the row's lines go (rest: but for the first). `open`: a run that a
-    partition's edge may have cut; n: its rows here, on one of them."""
+    partition's edge may have cut; n: its rows here, on one of them (where it is judged already: the least number)."""
     extra = ["drop", "rest", "open", "n"]
 
     def out(b, drop, rest, waits, n):
@@ -135,7 +135,10 @@ def _judged(sorted_rows: DataFrame, min_docs: int | None, kind: str) -> DataFram
             begun = begun or gone[0] or len(starts) > 1
             rows = np.repeat(gone, sizes)
             if rows.any():
-                yield out(b.filter(pa.array(rows)), True, False, False, 0)
+                # Its number also settles what a neighbouring partition has of the run.
+                number = np.zeros(b.num_rows, "i8")
+                number[starts[gone]] = least
+                yield out(b.filter(pa.array(rows)), True, False, False, number[rows])
         if carry is not None:
             yield ends(carry)
 
@@ -156,7 +159,7 @@ def keep_bitmaps(df: DataFrame, doc: str = "doc_id", text: str = "text", min_doc
         rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.col("doc").asc_nulls_first(), "th"))
         settled = waits.withColumn("drop", rank > 1).withColumn("rest", rank == 1)
     else:
-        lost = waits.groupBy("h1", "h2").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("h1", "h2")
+        lost = judged.where("n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("h1", "h2")
         settled = waits.join(lost, ["h1", "h2"], "left_semi").withColumn("drop", F.lit(True))
     settled = judged.where("NOT open AND (drop OR (rest AND more IS NOT NULL))").unionByName(settled.where("drop OR (rest AND more IS NOT NULL)").select(judged.columns))
     schema = f"doc {kind}, th long, n_lines int, n_dropped int, keep binary"

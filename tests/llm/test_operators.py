@@ -87,6 +87,19 @@ def test_line_dedup(docs, empty):
     assert line_dedup.keep_lines(empty, line_dedup.keep_bitmaps(empty, min_docs=2)).count() == 0
 
 
+def test_line_dedup_over_partitions(spark):
+    """A frequent line whose rows end up in several partitions, in some of them fewer than the bound."""
+    df = spark.createDataFrame([(i, f"often\nown {i}" + ("\nrare" if i < 9 else "")) for i in range(40)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "3", "7", "30"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = line_dedup.keep_lines(df, line_dedup.keep_bitmaps(df, min_docs=10)).collect()
+        assert all(r._n_dropped == 1 and "often" not in r._kept for r in got)
+        first = line_dedup.keep_lines(df, line_dedup.keep_bitmaps(df)).collect()
+        assert sum("often" in r._kept for r in first) == sum("rare" in r._kept for r in first) == 1
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_lm(docs, empty):
     got = lm.score(docs, F.col("doc_id") % 3 == 2, states=3, rounds=2).collect()
     rows = docs.collect()

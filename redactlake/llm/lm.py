@@ -188,13 +188,13 @@ def expected(model: Model, rows: list[np.ndarray], opens: np.ndarray) -> tuple[n
     order, flat, active = _time_major(rows)
     k = len(model.start)
     at = np.r_[0, np.cumsum(active)]
-    e = model.emit[flat]
+    # Emissions are looked up again going backward: kept for all times they would be as large as alpha.
     alpha, scale = np.empty((len(flat), k)), np.empty(len(flat))
     settled = np.linalg.matrix_power(model.move, 64)[0]
-    a = np.where(opens[order][:, None], model.start, settled) * e[: active[0]]
+    a = np.where(opens[order][:, None], model.start, settled) * model.emit[flat[: active[0]]]
     for t, n in enumerate(active.tolist()):
         if t:
-            a = (a[:n] @ model.move) * e[at[t] : at[t] + n]
+            a = (a[:n] @ model.move) * model.emit[flat[at[t] : at[t] + n]]
         s = a.sum(1)
         a /= s[:, None]
         alpha[at[t] : at[t] + n], scale[at[t] : at[t] + n] = a, s
@@ -202,7 +202,7 @@ def expected(model: Model, rows: list[np.ndarray], opens: np.ndarray) -> tuple[n
     for t in range(len(active) - 2, -1, -1):
         n, m = active[t], active[t + 1]
         later = slice(at[t + 1], at[t + 1] + m)
-        w = e[later] * b / scale[later, None]
+        w = model.emit[flat[later]] * b / scale[later, None]
         move += alpha[at[t] : at[t] + m].T @ w
         alpha[later] *= b
         b = np.ones((n, k))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactlake.llm import line_dedup, packing, quality, simhash, suffix_dedup
+from redactlake.llm import line_dedup, near, packing, quality, suffix_dedup
 from redactlake.llm.common import Scratch, crc32_mod
 from redactlake.llm.queries import read, tokenizer_path
 
@@ -38,9 +38,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays; rows without an id stay only where no row
-    of their group has one. Rows of one id are one document."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8) the document of the least id stays; rows
+    without an id stay only where no row of their group has one. Rows of one id are one document."""
+    found = near.near_duplicates(docs.select("doc_id", "text"))
     keep = found.where(F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("_doc")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_doc"]), "left_semi")
 
@@ -58,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", drop_lines),
-    ("simhash near-dedup", one_of_near),
+    ("near-dedup", one_of_near),
     ("suffix-array dedup", drop_repeats),
     ("best-fit packing", pack),
 ]

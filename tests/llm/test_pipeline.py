@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from redactlake.llm import packing, quality, simhash, suffix_dedup
+from redactlake.llm import near, packing, quality, simhash, suffix_dedup
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RNG = random.Random(9)
@@ -60,3 +61,35 @@ def test_pipeline(spark, tmp_path, monkeypatch):
             assert length[i] < len(encode(d.decode())) // 4 + 1
     kept = Counter(r.sequence_id for r in out for _ in range(r.length))
     assert max(kept.values()) <= 1024
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def same(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_duplicates(spark):
+    """Edited copies on both sides of 0.8, chains and a large group, against all pairs."""
+    base = prose(120).split()
+    edit = lambda words, *at: " ".join("new" + str(i) if i in at else w for i, w in enumerate(words))
+    texts = [" ".join(base), " ".join(base).upper().replace(" ", "\n "), edit(base, 50), edit(base, 10, 60), edit(base, 10, 40, 70, 100), edit(base, 20, 50, 80, 110), " ".join(base[:100]), " ".join(base[:60])]
+    group = prose(90).split()
+    texts += [edit(group, i) for i in range(90)] + [prose(n) for n in (3, 4, 5, 8, 40, 200)] + ["a b c", "A  b c", "one two three four five six seven eight nine", "one two three four five six seven eight", None, "", " "]
+    rows = list(enumerate(texts)) + [(None, texts[3]), (0, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if same(sets[a], sets[b])]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    least = {k: min((d for (d, _), x in zip(rows, label, strict=True) if x == k and d is not None), default=None) for k in label}
+    got = near.near_duplicates(df).collect()
+    assert sorted(map(repr, ((r.doc, r.component) for r in got))) == sorted(map(repr, ((d, least[k]) for (d, _), k in zip(rows, label, strict=True))))
+    docs = df.withColumns({"n_chars": F.length("text").cast("long")})
+    assert {r.doc_id for r in corpus_pipeline.one_of_near(spark, docs, "").collect()} == {v for v in least.values() if v is not None}
+    assert near.near_duplicates(df.limit(0)).count() == 0

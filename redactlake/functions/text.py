@@ -47,13 +47,13 @@ def looks_like_code(value: str | Column, following: str | Column, quoted: str |
     """Whether an unquoted value is an expression or a type name. following: the character after it."""
     s, q = _c(value), F.lit(quoted) if isinstance(quoted, bool) else _c(quoted)
     bare = F.regexp_replace(s, r"[)\]}!]+\z", "")
-    access = r"^[A-Za-z_$][A-Za-z0-9_$]*(?:!?\??\.[A-Za-z_$][A-Za-z0-9_$]*|\[[^\]]*\]){1,200}\z"
+    access = r"^[A-Za-z_$][A-Za-z0-9_$]*(?:!?\??\.[A-Za-z_$][A-Za-z0-9_$]*|\[[^\]]*\])++\z"
     call = (F.coalesce(_c(following), F.lit("")) == "(") | F.contains(s, F.lit("("))
     return ~q & (call | bare.rlike(access) | bare.rlike(r"^[A-Za-z_$]+\z"))
 
 
 def looks_like_version(value: str | Column) -> Column:
-    return _c(value).rlike(r"^(?:[~^]|[<>]=?|=)?v?[0-9]+(?:\.[0-9]+){1,100}(?:[-+][A-Za-z0-9_.]+)?\z")
+    return _c(value).rlike(r"^(?:[~^]|[<>]=?|=)?v?[0-9]+(?:\.[0-9]+)++(?:[-+][A-Za-z0-9_.]+)?\z")
 
 
 def looks_like_path_or_url(value: str | Column) -> Column:

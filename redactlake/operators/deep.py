@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from redactlake.types import RAW_TYPE
+from redactlake.types import RAW_TYPE, Doc
 
-_FIELDS = {"ruleId": None, "category": "custom", "severity": "medium", "confidence": 0.8, "start": None, "end": None, "preview": None, "description": None, "tag": None}
+_FIELDS = {"ruleId": None, "category": "custom", "severity": "medium", "confidence": 0.8, "start": None, "end": None, "preview": None, "description": None, "tag": None, "match": None}
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ class CallableDetector:
     def best(self, rule_id: str) -> tuple[str, float]:
         return "critical", 1.0
 
-    def detect(self, text: Column, lower: Column, only: Iterable[str] | None = None) -> Column:
+    def detect(self, doc: Doc, only: Iterable[str] | None = None) -> Column:
         function = self.function
 
         @F.pandas_udf(RAW_TYPE)
@@ -44,7 +44,7 @@ class CallableDetector:
             for s in batches:
                 yield pd.Series([[{k: f.get(k, v) for k, v in _FIELDS.items()} | {"confidence": float(f.get("confidence", 0.8))} for f in function(t)] if t else [] for t in s], dtype=object)
 
-        return scan(text)
+        return scan(doc.text)
 
 
 #: Message id and pattern; whole connection strings, and tokens, in ASCII only.

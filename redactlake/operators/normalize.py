@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+
 # Characters that are passed over, white space first.
 WHITE_SPACE = "\t\n\x0b\x0c\r \xa0                　﻿"
 ZERO_WIDTH = "​‌‍‎‏⁠﻿"
@@ -25,13 +28,16 @@ class Normalized:
 
 @dataclass
 class Normalizer:
-    """Per code point: NFKC, lower case, char_map, then what ignore names (a set or a test; None: nothing) is dropped."""
+    """Per code point: NFKC, lower case, char_map (whose values may have several characters); then a value in which
+    ignore finds something is dropped. ignore: characters, a pattern that is searched for, a test, or None for nothing."""
 
     nfkc: bool = True
     lowercase: bool = True
-    ignore: frozenset[str] | Callable[[str], bool] | None = DEFAULT_IGNORE
+    ignore: frozenset[str] | re.Pattern | Callable[[str], bool] | None = DEFAULT_IGNORE
     char_map: dict[str, str] = field(default_factory=dict)
 
+    UNKNOWN, DROPPED, SEVERAL = -1, -2, -3
+
     def __post_init__(self):
         fold = self._fold
 
@@ -41,9 +47,11 @@ class Normalizer:
                 return made
 
         self.table = Table()
+        #: By code point: the one it becomes, DROPPED, SEVERAL or (not looked up yet) UNKNOWN.
+        self.single = np.full(0x110000, self.UNKNOWN, "i4")
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "table"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "single")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -55,15 +63,30 @@ class Normalizer:
         mapped = (self.char_map.get(c, c) for c in piece)
         if self.ignore is None:
             return "".join(mapped)
-        drop = self.ignore if callable(self.ignore) else self.ignore.__contains__
+        if isinstance(self.ignore, re.Pattern):
+            drop = self.ignore.search
+        elif callable(self.ignore):
+            drop = self.ignore
+        else:
+            drop = lambda m: not self.ignore.isdisjoint(m)
         return "".join(m for m in mapped if not drop(m))
 
     def text(self, s: str) -> str:
         return s.translate(self.table)
 
-    def origins(self, s: str) -> list[int]:
-        """For each code point of the folded text, the code point of s that it comes from."""
-        return [i for i, ch in enumerate(s) for _ in self.table[ord(ch)]]
+    def folded(self, s: str) -> tuple[str, np.ndarray]:
+        """The folded text and, for each of its code points, the code point of s that it comes from."""
+        codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<i4")
+        made = self.single[codes]
+        if (made == self.UNKNOWN).any():
+            for c in np.unique(codes[made == self.UNKNOWN]).tolist():
+                f = self.table[c]
+                self.single[c] = ord(f) if len(f) == 1 else self.SEVERAL if f else self.DROPPED
+            made = self.single[codes]
+        if (made == self.SEVERAL).any():
+            return self.text(s), np.repeat(np.arange(len(codes)), [len(self.table[c]) for c in codes.tolist()])
+        kept = np.flatnonzero(made >= 0)
+        return made[kept].astype("<i4").tobytes().decode("utf-32-le", "surrogatepass"), kept
 
     def __call__(self, s: str) -> Normalized:
         wide = lambda c: 2 if c > "\uffff" else 1

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from redactlake.functions.checks import has_known_bin, is_valid_cn_id, is_valid_uscc, luhn
 from redactlake.operators.spans import found, let
-from redactlake.types import Span, no_findings, raw_finding
+from redactlake.types import Doc, Span, no_findings, raw_finding
 
-#: Type, default severity, description.
+# Results follow from them.
+#: Type, default severity, description.
 TYPES = {
     "cn-id-card": ("high", "Chinese resident ID card number (居民身份证号)"),
     "bank-card": ("high", "Bank / payment card number (银行卡号)"),
@@ -22,21 +23,28 @@ TYPES = {
     "ipv4": ("low", "IPv4 address"),
 }
 DEFAULT_INCLUDE = ("cn-id-card", "cn-mobile", "bank-card", "cn-uscc", "email")
-#: Words that make a card number likelier, and how far before it they count.
+#: Words that make a card number likelier, and how many UTF-16 units before it they count.
 CARD_CONTEXT = r"(?i)(?:卡号|银行卡|信用卡|借记卡|储蓄卡|card|visa|mastercard|unionpay|银联|账号|帐号)"
 CONTEXT_UNITS = 24
 
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_COMPANY = "[0-9A-HJ-NPQRTUWXY]"
-#: Candidates. Repeated groups are bounded, as the regex engine recurses on them.
+#: Candidates. E-mails are taken with all that looks like a domain and are then cut behind the last label that can end
+#: one, as the regex engine would recurse on the labels otherwise.
 PATTERNS = {
     "cn-id-card": r"(?<![0-9A-Za-z])[1-9][0-9]{5}(?:18|19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx](?![0-9A-Za-z])",
     "bank-card": r"(?<![0-9])(?:[0-9][ -]?){14,18}[0-9](?![0-9])",
     "cn-mobile": r"(?<![0-9])(?:(?:\+|00)?86[ -]?)?1[3-9][0-9](?:[ -]?[0-9]{4}){2}(?![0-9])",
-    "cn-uscc": rf"(?<![0-9A-Z]){_COMPANY}{{2}}[0-9]{{6}}{_COMPANY}{{10}}(?![0-9A-Z])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9.])",
+    "cn-uscc": r"(?<![0-9A-Z])[0-9A-HJ-NPQRTUWXY]{2}[0-9]{6}[0-9A-HJ-NPQRTUWXY]{10}(?![0-9A-Z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+",
+    "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9.])",
 }
+EMAIL_END = r"^([^@]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,24})(?![A-Za-z0-9-])"
+#: Addresses that are never reported, lower-cased.
+EMAIL_EXAMPLES = r"^(?:example\.(?:com|org|net)|test\.com|localhost)\z"
+IPV4_SPECIAL = r"^(?:0|127|255)\."
+CARD_DIGITS = (15, 19)
+#: Confidence of a card number near such a word, grouped, bare (which is always medium).
+CARD_NEAR, CARD_GROUPED, CARD_BARE = 0.9, 0.75, 0.5
+CONFIDENCE = {"cn-id-card": 0.95, "cn-mobile": 0.85, "cn-uscc": 0.9, "email": 0.95, "ipv4": 0.7}
 
 #: struct (confidence, severity or null: the type's own) of a candidate; null turns it down.
 Verdict = Column
@@ -47,14 +55,14 @@ def _if(ok: Column, confidence: float) -> Verdict:
 
 
 def _id_card(s: Span, as_of: Column | None) -> Verdict:
-    return _if(is_valid_cn_id(s.match, as_of), 0.95)
+    return _if(is_valid_cn_id(s.match, as_of), CONFIDENCE["cn-id-card"])
 
 
 def _bank_card(s: Span, as_of: Column | None) -> Verdict:
     def checked(d: Column) -> Column:
         n = F.length(d)
         identity = F.when(n == 18, is_valid_cn_id(d, as_of)).otherwise(False)
-        return F.when(n.between(15, 19) & ~d.rlike(r"^([0-9])\1+\z") & has_known_bin(d), luhn(d) & ~identity).otherwise(False)
+        return F.when(n.between(*CARD_DIGITS) & ~d.rlike(r"^([0-9])\1+\z") & has_known_bin(d), luhn(d) & ~identity).otherwise(False)
 
     def context(before: Column) -> Column:
         # The window is counted in UTF-16 units: of as many code points, the last CONTEXT_UNITS units.
@@ -64,24 +72,23 @@ def _bank_card(s: Span, as_of: Column | None) -> Verdict:
 
     def strength(near: Column) -> Column:
         bare = ~s.match.rlike("[ -]")
-        return F.struct(F.when(near, 0.9).when(bare, 0.5).otherwise(0.75).alias("confidence"), F.when(~near & bare, F.lit("medium")).alias("severity"))
+        return F.struct(F.when(near, CARD_NEAR).when(bare, CARD_BARE).otherwise(CARD_GROUPED).alias("confidence"), F.when(~near & bare, F.lit("medium")).alias("severity"))
 
-    before = F.substring(s.text, F.greatest(s.start - (CONTEXT_UNITS - 1), F.lit(1)), F.least(s.start, F.lit(CONTEXT_UNITS)))
-    return F.when(let(F.regexp_replace(s.match, "[ -]", ""), checked), let(F.when(s.start > 0, let(before, context)).otherwise(False), strength))
+    return F.when(let(F.regexp_replace(s.match, "[ -]", ""), checked), let(let(s.before(CONTEXT_UNITS), context), strength))
 
 
 def _email(s: Span, as_of: Column | None) -> Verdict:
     domain = F.lower(F.substring_index(s.match, "@", -1))
-    return _if(~domain.rlike(r"^(?:example\.(?:com|org|net)|test\.com|localhost)\z"), 0.95)
+    return _if((s.match != "") & ~domain.rlike(EMAIL_EXAMPLES), CONFIDENCE["email"])
 
 
 CHECKS: dict[str, Callable[[Span, Column | None], Verdict]] = {
     "cn-id-card": _id_card,
     "bank-card": _bank_card,
-    "cn-mobile": lambda s, _: _if(F.lit(True), 0.85),
-    "cn-uscc": lambda s, _: _if(is_valid_uscc(s.match), 0.9),
+    "cn-mobile": lambda s, _: _if(F.lit(True), CONFIDENCE["cn-mobile"]),
+    "cn-uscc": lambda s, _: _if(is_valid_uscc(s.match), CONFIDENCE["cn-uscc"]),
     "email": _email,
-    "ipv4": lambda s, _: _if(~s.match.rlike(r"^(?:0|127|255)\."), 0.7),
+    "ipv4": lambda s, _: _if(~s.match.rlike(IPV4_SPECIAL), CONFIDENCE["ipv4"]),
 }
 #: What a text must hold for the pattern to be worth a try.
 NEEDS = {"cn-id-card": "[0-9]{14}", "bank-card": "[0-9]", "cn-mobile": "1[3-9][0-9]", "cn-uscc": "[0-9]{6}", "email": "@", "ipv4": r"[0-9]\.[0-9]"}
@@ -107,18 +114,22 @@ class Pii:
     def best(self, rule_id: str) -> tuple[str, float]:
         """The greatest severity and confidence that the rule can report."""
         kind = rule_id.removeprefix("pii.")
-        top = {"cn-id-card": 0.95, "bank-card": 0.9, "cn-mobile": 0.85, "cn-uscc": 0.9, "email": 0.95, "ipv4": 0.7}[kind]
+        top = CONFIDENCE.get(kind, CARD_NEAR)
         severity = dict(self.severity).get(kind, TYPES[kind][0])
         return ("medium" if kind == "bank-card" and severity == "low" else severity), top
 
     def _emitter(self, kind: str, as_of: Column | None, usual: str) -> Callable[[Span], Column]:
         def finding(s: Span, v: Column) -> Column:
-            made = raw_finding(f"pii.{kind}", "pii", F.coalesce(v["severity"], F.lit(usual)), v["confidence"], s.start, s.start + F.length(s.match), TYPES[kind][1])
-            return F.when(v.isNotNull(), made)
+            return F.when(v.isNotNull(), raw_finding(f"pii.{kind}", "pii", F.coalesce(v["severity"], F.lit(usual)), v["confidence"], s, TYPES[kind][1]))
 
-        return lambda s: let(CHECKS[kind](s, as_of), lambda v: finding(s, v))
+        def checked(s: Span) -> Column:
+            return let(CHECKS[kind](s, as_of), lambda v: finding(s, v))
 
-    def detect(self, text: Column, lower: Column, only: Iterable[str] | None = None) -> Column:
+        if kind == "email":
+            return lambda s: let(F.regexp_extract(s.match, EMAIL_END, 1), lambda m: checked(Span(m, s.start, s.doc)))
+        return checked
+
+    def detect(self, doc: Doc, only: Iterable[str] | None = None) -> Column:
         as_of = F.lit(self.as_of).cast("timestamp") if self.as_of else None
         chosen = dict(self.severity)
         out = []
@@ -127,8 +138,8 @@ class Pii:
                 continue
 
             emit = self._emitter(kind, as_of, chosen.get(kind, TYPES[kind][0]))
-            need = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(NEEDS[kind])
-            out.append(found(text, PATTERNS[kind], emit, when=need))
+            need = F.contains(doc.text, F.lit("@")) if kind == "email" else doc.text.rlike(NEEDS[kind])
+            out.append(found(doc, PATTERNS[kind], emit, when=need))
         return F.concat(*out) if out else no_findings()
 
 

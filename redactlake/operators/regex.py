@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from redactlake.operators.spans import found
-from redactlake.types import SEVERITY_RANK, Span, no_findings, raw_finding
+from redactlake.types import SEVERITY_RANK, Doc, Span, no_findings, raw_finding
 
 
 @dataclass(frozen=True)
@@ -43,29 +42,20 @@ class RegexDetector:
         own = [r for r in self.rules if r.id == rule_id]
         return max((r.severity for r in own), key=SEVERITY_RANK.get), max(r.confidence for r in own)
 
-    def detect(self, text: Column, lower: Column, only: Iterable[str] | None = None) -> Column:
+    def detect(self, doc: Doc, only: Iterable[str] | None = None) -> Column:
         out = []
         for rule in self.rules:
-            if only is not None and rule.id not in only:
+            if not rule.pattern or (only is not None and rule.id not in only):
                 continue
 
             def emit(s: Span, rule=rule) -> Column:
-                finding = raw_finding(rule.id, rule.category, rule.severity, rule.confidence, s.start, s.start + F.length(s.match), rule.description)
-                ok = F.length(s.match) > 0
-                return F.when(ok & rule.validate(s) if rule.validate else ok, finding)
+                finding = raw_finding(rule.id, rule.category, rule.severity, rule.confidence, s, rule.description)
+                return F.when(rule.validate(s), finding) if rule.validate else finding
 
-            out.append(found(text, rule.pattern, emit))
+            out.append(found(doc, rule.pattern, emit))
         return F.concat(*out) if out else no_findings()
 
 
 def regex_detector(id: str, rules: Iterable[RegexRule]) -> RegexDetector:
-    """Patterns that match the empty string are refused: their matches would leave no text between them."""
-    rules = tuple(rules)
-    for r in rules:
-        try:
-            empty = re.compile(r.pattern).match("") is not None
-        except re.error:  # of Java's dialect alone
-            empty = False
-        if empty:
-            raise ValueError(f"the pattern of {r.id} matches the empty string")
-    return RegexDetector(id, rules)
+    """Matches of the empty string are stepped over, as they hold nothing."""
+    return RegexDetector(id, tuple(rules))

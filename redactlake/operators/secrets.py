@@ -1,6 +1,7 @@
 """Credentials: keyword prefilter, pattern with the secret as a group, entropy, placeholders, structure.
 
-The patterns, entropy bounds and confidences are this package's own, written from the public formats of the tokens.
+The rules are data: one array of them is filtered by keywords and one expression runs those that are left, so the plan
+does not grow with their number. The patterns, entropy bounds and confidences are this package's own, written from the public formats of the tokens.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from redactlake.functions.text import decode_base64, has_letter_and_digit, looks_like_code, looks_like_path_or_url, looks_like_version, shannon_entropy
-from redactlake.operators.spans import found, let
-from redactlake.types import SEVERITY_RANK, Span, no_findings, raw_finding
+from redactlake.operators.spans import found, led, let
+from redactlake.types import SEVERITY_RANK, Doc, Span, no_findings, raw_finding
 
 
 @dataclass(frozen=True)
 class SecretRule:
-    """keywords: lower-case; one must occur (none: no prefilter). validate: a span to a boolean Column, or to
+    """keywords: lower-case; one must occur (none: no prefilter). worth: a pattern that must be found before regex is
+    tried. secret_group: 0, or a group that stands outside of others. validate: a span to a boolean Column, or to
     (severity, confidence) Columns of which nulls leave the rule's own. top: the greatest severity it can then have."""
 
     id: str
@@ -32,6 +34,7 @@ class SecretRule:
     confidence: float = 0.97
     validate: Callable[[Span], Column | tuple[Column, Column]] | None = None
     top: str | None = None
+    worth: str | None = None
 
 
 def is_placeholder(value: str | Column, ignore_examples: bool = True) -> Column:
@@ -51,13 +54,8 @@ def is_placeholder(value: str | Column, ignore_examples: bool = True) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def _after(s: Span) -> Column:
-    return F.substring(s.text, s.start + F.length(s.match) + 1, F.lit(1))
-
-
 def _no_code(s: Span) -> Column:
-    quoted = F.substring(s.text, s.start, F.lit(1)).isin('"', "'", "`") & (s.start > 0)
-    return ~looks_like_code(s.match, _after(s), quoted) & ~looks_like_version(s.match) & ~looks_like_path_or_url(s.match)
+    return ~looks_like_code(s.match, s.after(1), s.before(1).isin('"', "'", "`")) & ~looks_like_version(s.match) & ~looks_like_path_or_url(s.match)
 
 
 def _test_key(s: Span) -> tuple[Column, Column]:
@@ -98,7 +96,7 @@ RULES: tuple[SecretRule, ...] = (
     SecretRule("huggingface-token", "high", _b("hf_[A-Za-z0-9]{34}"), ("hf_",), "Hugging Face access token"),
     SecretRule("sendgrid-api-key", "high", _b(r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"), ("sg.",), "SendGrid API key"),
     SecretRule("shopify-token", "high", _b("shp(?:at|ca|pa|ss)_[A-Fa-f0-9]{32}"), ("shpat_", "shpca_", "shppa_", "shpss_"), "Shopify access token"),
-    SecretRule("telegram-bot-token", "high", r"(?<![A-Za-z0-9_])([0-9]{8,10}:[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", (), "Telegram bot token", entropy=3.5, confidence=0.9),
+    SecretRule("telegram-bot-token", "high", r"(?<![A-Za-z0-9_])([0-9]{8,10}:[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", (), "Telegram bot token", entropy=3.5, confidence=0.9, worth="[0-9]{8}:"),
     SecretRule("discord-webhook", "high", r"(https://(?:[a-z]{1,10}\.)?discord(?:app)?\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,80})", ("discord",), "Discord webhook URL"),
     SecretRule("azure-storage-key", "critical", r"(?i:AccountKey\s{0,3}=\s{0,3})([A-Za-z0-9+/]{86}==)", ("accountkey",), "Azure storage account key"),
     SecretRule("alibaba-access-key-id", "high", _b("LTAI[A-Za-z0-9]{12,24}"), ("ltai",), "Alibaba Cloud access key ID"),
@@ -138,39 +136,58 @@ class Secrets:
         own = rule in RULES or rule.validate is None
         return rule.top or (rule.severity if own else "critical"), rule.confidence if own else 1.0
 
-    def _emitter(self, rule: SecretRule) -> Callable[[Span], Column]:
+    def _emit(self, rules: list[SecretRule], own: Column) -> Callable[[Span], Column]:
+        """own: the struct of the rule that runs."""
+
+        def verdict(s: Span) -> Column:
+            """struct (ok, severity, confidence), the latter null where they are the rule's own."""
+            as_struct = lambda ok, severity, confidence: F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), severity.cast("string").alias("severity"), confidence.cast("double").alias("confidence"))
+            out = as_struct(F.lit(True), F.lit(None), F.lit(None))
+            for rule in rules:
+                if rule.validate:
+                    v = rule.validate(s)
+                    made = as_struct(F.lit(True), *v) if isinstance(v, tuple) else as_struct(v, F.lit(None), F.lit(None))
+                    out = F.when(own["id"] == f"secret.{rule.id}", made).otherwise(out)
+            return out
+
         def emit(s: Span) -> Column:
-            ok = F.length(s.match) > 0
-            if rule.entropy is not None:
-                ok &= shannon_entropy(s.match) >= rule.entropy
-            severity, confidence = F.lit(rule.severity), F.lit(rule.confidence)
-            verdict = rule.validate(s) if rule.validate else None
-            if isinstance(verdict, tuple):
-                severity, confidence = F.coalesce(verdict[0], severity), F.coalesce(verdict[1], confidence)
-            elif verdict is not None:
-                ok = F.when(ok, verdict).otherwise(False)
-            return F.when(ok, raw_finding(f"secret.{rule.id}", "secret", severity, confidence, s.start, s.start + F.length(s.match), rule.description))
+            ok = ~is_placeholder(s.match, self.ignore_examples)
+            if self.allowlist:
+                ok &= ~s.match.isin(*self.allowlist)
+            ok &= F.when(own["entropy"].isNotNull(), shannon_entropy(s.match) >= own["entropy"]).otherwise(True)
+            finding = lambda v: F.when(v["ok"], raw_finding(own["id"], "secret", F.coalesce(v["severity"], own["severity"]), F.coalesce(v["confidence"], own["confidence"]), s, own["description"]))
+            return F.when(ok, let(verdict(s), finding))
 
         return emit
 
-    def detect(self, text: Column, lower: Column, only: Iterable[str] | None = None) -> Column:
+    def detect(self, doc: Doc, only: Iterable[str] | None = None) -> Column:
         chosen = [r for r in self.rules() if only is None or f"secret.{r.id}" in only]
         if not chosen:
             return no_findings()
-        found_all = F.concat(*(found(text, r.regex, self._emitter(r), r.secret_group, _worth(r, text, lower)) for r in chosen))
+        worth = F.filter(F.array(*map(_row, chosen)), lambda r: _worth(r, doc))
+        return F.flatten(F.transform(worth, lambda r: found(doc, r["regex"], self._emit(chosen, r), r["group"])))
 
-        def real(secret: Column) -> Column:
-            ok = ~is_placeholder(secret, self.ignore_examples)
-            return ok & ~secret.isin(*self.allowlist) if self.allowlist else ok
 
-        return F.filter(found_all, lambda f: let(F.substring(text, f["start"] + 1, f["end"] - f["start"]), real))
+def _row(rule: SecretRule) -> Column:
+    """The rule as a struct of literals. group: of the pattern with what precedes the secret as its first group."""
+    g = rule.secret_group
+    return F.struct(
+        F.lit(f"secret.{rule.id}").alias("id"),
+        F.lit(led(rule.regex, g) if g else rule.regex).alias("regex"),
+        F.lit(g + 1 if g else 0).alias("group"),
+        F.lit(rule.severity).alias("severity"),
+        F.lit(rule.confidence).cast("double").alias("confidence"),
+        F.lit(rule.entropy).cast("double").alias("entropy"),
+        F.lit(rule.description).cast("string").alias("description"),
+        F.lit(rule.worth).cast("string").alias("worth"),
+        (F.array(*map(F.lit, rule.keywords)) if rule.keywords else F.array().cast("array<string>")).alias("keywords"),
+    )
 
 
-def _worth(rule: SecretRule, text: Column, lower: Column) -> Column | None:
-    """Whether the text holds one of the rule's keywords."""
-    if rule.id == "telegram-bot-token":
-        return text.rlike("[0-9]{8}:")
-    return reduce(lambda a, b: a | b, (F.contains(lower, F.lit(k)) for k in rule.keywords)) if rule.keywords else None
+def _worth(rule: Column, doc: Doc) -> Column:
+    """Whether the text holds one of the rule's keywords, and what it asks for beside them."""
+    some = (F.size(rule["keywords"]) == 0) | F.exists(rule["keywords"], lambda k: F.contains(doc.lower, k))
+    return some & F.when(rule["worth"].isNull(), True).otherwise(F.regexp_like(doc.text, F.coalesce(rule["worth"], F.lit(""))))
 
 
 def secrets(disable: Iterable[str] = (), allowlist: Iterable[str] = (), ignore_examples: bool = True, extra_rules: Iterable[SecretRule] = ()) -> Secrets:
@@ -178,4 +195,6 @@ def secrets(disable: Iterable[str] = (), allowlist: Iterable[str] = (), ignore_e
     for r in extra:
         if r.severity not in SEVERITY_RANK:
             raise ValueError(f"unknown severity: {r.severity}")
+        if r.secret_group:
+            led(r.regex, r.secret_group)  # raises where the secret's place could not be told
     return Secrets(tuple(disable), tuple(allowlist), ignore_examples, extra)

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from redactlake.functions.text import mask_preview
 from redactlake.operators.pii import pii
-from redactlake.operators.resolve import Masker, astral, by_start, dedupe, masks, redacted, slice_utf16, to_utf16
+from redactlake.operators.resolve import Masker, Units, astral, by_start, dedupe, masks, redacted, to_utf16, utf16_units
 from redactlake.operators.secrets import secrets
-from redactlake.types import FINDING_FIELDS, SEVERITY_RANK, severity_rank
+from redactlake.operators.spans import let, running
+from redactlake.types import FINDING_FIELDS, SEVERITY_RANK, Doc, in_pieces, no_findings, severity_rank
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,20 @@ def _is_disabled(rule_id: Column, entries: tuple[str, ...]) -> Column:
 
 
 def _tagged(found: Column, detector: str) -> Column:
-    return F.transform(found, lambda f: F.struct(f["ruleId"].alias("ruleId"), F.lit(detector).alias("detector"), *[f[k].alias(k) for k in FINDING_FIELDS[2:]]))
+    return F.transform(found, lambda f: F.struct(f["ruleId"].alias("ruleId"), F.lit(detector).alias("detector"), *[f[k].alias(k) for k in [*FINDING_FIELDS[2:], "match"]]))
+
+
+def own_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names of columns that a plan adds and drops again, none of them the DataFrame's."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        made = f"_{name}"
+        while made in taken:
+            made = f"_{made}"
+        taken.add(made)
+        out.append(made)
+    return out
 
 
 class Scanner:
@@ -60,7 +74,7 @@ class Scanner:
         best = {i: detector.best(i) for i in ids if not disabled(i, self.disable_rules)}
         return [i for i, (s, c) in best.items() if SEVERITY_RANK[s] >= least and c >= self.min_confidence]
 
-    def _raw(self, text: Column, lower: Column, everything: bool, severity: str) -> list[Column]:
+    def _raw(self, doc: Doc, everything: bool, severity: str) -> list[Column]:
         """One array per detector, each finding with the detector's id."""
         out = []
         for d in self.detectors:
@@ -69,19 +83,19 @@ class Scanner:
             rules = self._runs(d, severity)
             if rules is not None and not rules:
                 continue
-            out.append(_tagged(d.detect(text, lower, rules), d.id))
+            out.append(_tagged(d.detect(doc, rules), d.id))
         return out
 
-    def _kept(self, text: Column, raw: Column, severity: str) -> Column:
+    def _kept(self, doc: Doc, raw: Column, severity: str) -> Column:
         """Range guard, thresholds, switches and allowlist, on offsets in code points; adds the matched text."""
-        n = F.length(text)
+        n = F.length(doc.text)
 
         def keep(f: Column) -> Column:
             ok = (f["start"] >= 0) & (f["end"] <= n) & (f["end"] > f["start"])
             ok &= (severity_rank(f["severity"]) >= SEVERITY_RANK[severity]) & (f["confidence"] >= self.min_confidence)
             return ok & ~_is_disabled(f["ruleId"], self.disable_rules) if self.disable_rules else ok
 
-        matched = F.transform(F.filter(raw, keep), lambda f: F.struct(*[f[k].alias(k) for k in FINDING_FIELDS], F.substring(text, f["start"] + 1, f["end"] - f["start"]).alias("match")))
+        matched = F.transform(F.filter(raw, keep), lambda f: F.struct(*[f[k].alias(k) for k in FINDING_FIELDS], F.coalesce(f["match"], doc.cut(f["start"], f["end"] - f["start"])).alias("match")))
         if self.allow_texts or self.allow_patterns:
 
             def wanted(f: Column) -> Column:
@@ -93,27 +107,37 @@ class Scanner:
             matched = F.filter(matched, wanted)
         return matched
 
-    def _findings(self, text: Column, raw: Column, severity: str) -> Column:
-        wide = astral(text)
+    def _done(self, doc: Doc, kept: Column) -> Column:
+        """Findings as they are reported: offsets in UTF-16 units, previews."""
+
+        def done(at: Callable[[Column], Column]) -> Column:
+            def one(f: Column) -> Column:
+                fields = {k: f[k] for k in FINDING_FIELDS} | {"start": at(f["start"]), "end": at(f["end"]), "preview": F.coalesce(f["preview"], mask_preview(f["match"]))}
+                if self.include_match:
+                    fields["match"] = f["match"]
+                return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+            return F.transform(kept, one)
 
-        def done(f: Column) -> Column:
-            at = lambda k: F.when(wide, to_utf16(text, f[k])).otherwise(f[k])
-            fields = {k: f[k] for k in FINDING_FIELDS} | {"start": at("start"), "end": at("end"), "preview": F.coalesce(f["preview"], mask_preview(f["match"]))}
-            if self.include_match:
-                fields["match"] = f["match"]
-            return F.struct(*[v.alias(k) for k, v in fields.items()])
+        units, convert = running(F.transform(doc.pieces, utf16_units)), to_utf16(doc.pieces)
+        return F.when((F.size(kept) > 0) & astral(doc.text), let(units, lambda u: done(lambda o: convert(u, o)))).otherwise(done(lambda o: o))
 
-        return F.transform(self._kept(text, raw, severity), done)
+    def _with_doc(self, df: DataFrame, text: str) -> tuple[DataFrame, Doc, list[str]]:
+        names = own_names(df, "text", "lower", "pieces")
+        source, lower, parts = names
+        out = df.withColumn(source, F.coalesce(F.col(text), F.lit("")))
+        out = out.withColumns({lower: F.lower(F.col(source)), parts: in_pieces(F.col(source))})
+        return out, Doc(*map(F.col, names)), names
 
     def _scan(self, df: DataFrame, text: str, to: str, everything: bool) -> DataFrame:
-        lower, raw, kept = "_lower", "_raw", "_kept"
-        source = F.coalesce(F.col(text), F.lit(""))
-        parts = self._raw(F.col("_text"), F.col(lower), everything, self.min_severity)
-        empty = F.from_json(F.lit("[]"), "array<struct<ruleId:string,detector:string,category:string,severity:string,confidence:double,start:int,end:int,preview:string,description:string,tag:string>>")
-        out = df.withColumn("_text", source).withColumn(lower, F.lower("_text")).withColumn(raw, F.concat(*parts) if parts else empty)
-        out = out.withColumn(kept, self._findings(F.col("_text"), F.col(raw), self.min_severity))
-        chosen = F.when(F.size(kept) > 1, dedupe(F.col(kept)) if self.dedupe else by_start(F.col(kept))).otherwise(F.col(kept))
-        return out.withColumn(to, chosen).drop("_text", lower, raw, kept)
+        out, doc, names = self._with_doc(df, text)
+        raw, kept, done = own_names(out, "raw", "kept", "done")
+        parts = self._raw(doc, everything, self.min_severity)
+        out = out.withColumn(raw, F.concat(*parts) if parts else _tagged(no_findings(), ""))
+        out = out.withColumn(kept, self._kept(doc, F.col(raw), self.min_severity))
+        out = out.withColumn(done, self._done(doc, F.col(kept)))
+        chosen = F.when(F.size(done) > 1, dedupe(F.col(done)) if self.dedupe else by_start(F.col(done))).otherwise(F.col(done))
+        return out.withColumn(to, chosen).drop(*names, raw, kept, done)
 
     def scan_sync(self, df: DataFrame, text: str = "text", to: str = "findings") -> DataFrame:
         """Adds the array of findings of all but asynchronous detectors."""
@@ -124,12 +148,17 @@ class Scanner:
         return self._scan(df, text, to, True)
 
     def findings(self, df: DataFrame, *keys: str, text: str = "text", everything: bool = False) -> DataFrame:
-        """A row per finding with the key columns."""
-        found = self._scan(df.select(*keys, text) if text not in keys else df.select(*keys), text, "_found", everything)
-        return found.select(*keys, F.explode("_found").alias("_f")).select(*keys, "_f.*")
+        """A row per finding with the key columns, whose names must not be those of a finding's fields."""
+        if clash := {k.lower() for k in keys} & {k.lower() for k in [*FINDING_FIELDS, "match"]}:
+            raise ValueError(f"key columns have names of findings' fields: {sorted(clash)}")
+        source = df.select(*keys, text) if text not in keys else df.select(*keys)
+        found, one = own_names(source, "found", "one")
+        # A plain explode makes the optimizer ask for size > 0 below it, with the scan written out a second time.
+        rows = self._scan(source, text, found, everything).select(*keys, F.explode_outer(found).alias(one))
+        return rows.where(F.col(one).isNotNull()).select(*keys, f"{one}.*")
 
     def _redact(self, df: DataFrame, text: str, to: str, findings: str, mask: Masker, everything: bool) -> DataFrame:
-        return self._scan(df, text, findings, everything).withColumn(to, redacted(F.col(text), F.col(findings), mask))
+        return self._scan(df, text, findings, everything).withColumn(to, redacted(F.col(text), F.col(findings), mask, resolved=self.dedupe))
 
     def redact_sync(self, df: DataFrame, text: str = "text", to: str = "text_redacted", findings: str = "findings", mask: Masker = masks.label) -> DataFrame:
         """Adds the findings and the text with these masked (null: null)."""
@@ -144,11 +173,11 @@ class Scanner:
         severity = min_severity or self.min_severity
         if severity not in SEVERITY_RANK:
             raise ValueError(f"unknown severity: {severity}")
-        out = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_lower", F.lower("_text"))
+        out, doc, names = self._with_doc(df, text)
         any_of = F.lit(False)
-        for part in reversed(self._raw(F.col("_text"), F.col("_lower"), False, severity)):
-            any_of = F.when(F.size(self._kept(F.col("_text"), part, severity)) > 0, True).otherwise(any_of)
-        return out.withColumn(to, any_of).drop("_text", "_lower")
+        for part in reversed(self._raw(doc, False, severity)):
+            any_of = F.when(F.size(self._kept(doc, part, severity)) > 0, True).otherwise(any_of)
+        return out.withColumn(to, any_of).drop(*names)
 
 
 def create_scanner(**options) -> Scanner:
@@ -172,9 +201,11 @@ def python_masker(function: Callable[[str, str], str]) -> Callable[[DataFrame, s
         return pd.Series([[function(r, o) for r, o in zip(a, b, strict=True)] for a, b in zip(rules, originals, strict=True)], dtype=object)
 
     def apply(df: DataFrame, text: str, findings: str, to: str) -> DataFrame:
-        spans = df.withColumn("_spans", dedupe(F.col(findings)))
-        spans = spans.withColumn("_new", replacements(F.transform("_spans", lambda f: f["ruleId"]), F.transform("_spans", lambda f: slice_utf16(F.col(text), f["start"], f["end"]))))
-        zipped = F.zip_with("_spans", "_new", lambda f, n: F.struct(f["ruleId"].alias("ruleId"), f["severity"].alias("severity"), f["confidence"].alias("confidence"), f["start"].alias("start"), f["end"].alias("end"), n.alias("new")))
-        return spans.withColumn(to, redacted(F.col(text), zipped, lambda f, o: f["new"])).drop("_spans", "_new")
+        spans, units, new = own_names(df, "spans", "units", "new")
+        out = df.withColumns({spans: dedupe(F.col(findings)), units: Units.of(F.col(text))})
+        u = Units(F.col(units)["pieces"], F.col(units)["wide"])
+        out = out.withColumn(new, replacements(F.transform(spans, lambda f: f["ruleId"]), F.transform(spans, lambda f: u.cut(f["start"], f["end"]))))
+        zipped = F.zip_with(spans, new, lambda f, n: F.struct(f["start"].alias("start"), f["end"].alias("end"), n.alias("new")))
+        return out.withColumn(to, redacted(F.col(text), zipped, lambda f, o: f["new"], resolved=True)).drop(spans, units, new)
 
     return apply

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: Fixed values.
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 
-#: A finding before the scanner completes it; offsets in code points.
-RAW = "ruleId string, category string, severity string, confidence double, start int, end int, preview string, description string, tag string"
+#: A finding before the scanner completes it; offsets in code points. match: the text found, where the detector has it.
+RAW = "ruleId string, category string, severity string, confidence double, start int, end int, preview string, description string, tag string, match string"
 RAW_TYPE = f"array<struct<{RAW.replace(' string', ':string').replace(' double', ':double').replace(' int', ':int')}>>"
 
 #: A finding; start and end in UTF-16 code units. `match` follows only where it is asked for.
@@ -27,27 +27,73 @@ def severity_rank(severity: str | Column) -> Column:
     return out
 
 
+#: Code points in a piece of a text.
+PIECE = 512
+
+
+def in_pieces(text: Column) -> Column:
+    """The text as an array of PIECE code points each, so that a place far inside is reached without counting up to it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, size: Column | int) -> Column:
+    """size code points from start on; fewer at the text's end, none where size is negative."""
+    n = F.greatest(F.lit(size) if isinstance(size, int) else size, F.lit(0))
+    inside = F.pmod(start, F.lit(PIECE)).cast("int")
+    first = F.shiftright(start.cast("int"), PIECE.bit_length() - 1)
+    held = F.slice(pieces, first + 1, F.shiftright((inside + n - 1).cast("int"), PIECE.bit_length() - 1) + 1)
+    return F.substring(F.array_join(held, ""), inside + 1, n)
+
+
+@dataclass(frozen=True)
+class Doc:
+    """Columns of a text that detectors share."""
+
+    text: Column
+    lower: Column
+    pieces: Column
+
+    def cut(self, start: Column, size: Column | int) -> Column:
+        return cut(self.pieces, start, size)
+
+
 @dataclass(frozen=True)
 class Span:
     """Columns that a check sees of a candidate, all evaluated only for candidates."""
 
     match: Column
     start: Column  # code points before it
-    text: Column
+    doc: Doc
+
+    @property
+    def text(self) -> Column:
+        return self.doc.text
+
+    @property
+    def end(self) -> Column:
+        return self.start + F.length(self.match)
+
+    def before(self, size: int) -> Column:
+        """The size code points before it, fewer at the text's beginning."""
+        return self.doc.cut(F.greatest(self.start - size, F.lit(0)), F.least(self.start, F.lit(size)))
+
+    def after(self, size: int) -> Column:
+        return self.doc.cut(self.end, size)
 
 
-def raw_finding(rule_id: str, category: str, severity: str | Column, confidence: float | Column, start: Column, end: Column, description: str | None, tag: str | None = None) -> Column:
+def raw_finding(rule_id: str | Column, category: str, severity: str | Column, confidence: float | Column, span: Span, description: str | Column | None, tag: str | None = None) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
-        F.lit(rule_id).alias("ruleId"),
+        lit(rule_id).alias("ruleId"),
         F.lit(category).alias("category"),
         lit(severity).alias("severity"),
         lit(confidence).cast("double").alias("confidence"),
-        start.cast("int").alias("start"),
-        end.cast("int").alias("end"),
+        span.start.cast("int").alias("start"),
+        span.end.cast("int").alias("end"),
         F.lit(None).cast("string").alias("preview"),
-        F.lit(description).cast("string").alias("description"),
+        lit(description).cast("string").alias("description"),
         F.lit(tag).cast("string").alias("tag"),
+        span.match.alias("match"),
     )
 
 

@@ -54,7 +54,8 @@ def dedupe(findings: Column) -> Column:
 
         return F.flatten(F.transform(h, one))
 
-    return F.when(F.size(findings) > 1, let(by_start(findings), clustered)).otherwise(findings)
+    placed = _ordered(findings, lambda f, i: [f["start"], -f["end"]])
+    return F.when(F.size(findings) > 1, let(placed, clustered)).otherwise(findings)
 
 
 class masks:
@@ -128,7 +129,7 @@ class Units:
 
 def redacted(text: Column, findings: Column, mask: Masker = masks.label, resolved: bool = False) -> Column:
     """The text with each finding's span replaced. findings (UTF-16 offsets) are deduplicated first, but where they
-    are resolved already. Spans that begin before the text are left out."""
+    are resolved already. Spans that begin before the text, or before the end of an earlier one, are left out."""
 
     def masked(u: Column, spans: Column) -> Column:
         units = Units(u["pieces"], u["wide"])
@@ -140,5 +141,10 @@ def redacted(text: Column, findings: Column, mask: Masker = masks.label, resolve
         rest = units.cut(F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)), u["size"])
         return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
 
-    spans = F.filter(findings if resolved else dedupe(findings), lambda f: f["start"] >= 0)
+    def fitting(s: Column) -> Column:
+        # Only spans of no length can begin inside another one here.
+        cursor = running(F.transform(s, lambda f: f["end"]), F.greatest)
+        return let(cursor, lambda c: F.filter(s, lambda f, i: f["start"] >= F.coalesce(F.get(c, i - 1), F.lit(0))))
+
+    spans = findings if resolved else let(dedupe(findings), fitting)
     return F.when(F.size(findings) > 0, let(Units.of(text), lambda u: let(spans, lambda s: masked(u, s)))).otherwise(text)

@@ -88,14 +88,14 @@ class Scanner:
 
     def _kept(self, doc: Doc, raw: Column, severity: str) -> Column:
         """Range guard, thresholds, switches and allowlist, on offsets in code points; adds the matched text."""
-        n = F.length(doc.text)
 
-        def keep(f: Column) -> Column:
+        def keep(f: Column, n: Column) -> Column:
             ok = (f["start"] >= 0) & (f["end"] <= n) & (f["end"] > f["start"])
             ok &= (severity_rank(f["severity"]) >= SEVERITY_RANK[severity]) & (f["confidence"] >= self.min_confidence)
             return ok & ~_is_disabled(f["ruleId"], self.disable_rules) if self.disable_rules else ok
 
-        matched = F.transform(F.filter(raw, keep), lambda f: F.struct(*[f[k].alias(k) for k in FINDING_FIELDS], F.coalesce(f["match"], doc.cut(f["start"], f["end"] - f["start"])).alias("match")))
+        within = let(F.length(doc.text), lambda n: F.filter(raw, lambda f: keep(f, n)))
+        matched = F.transform(within, lambda f: F.struct(*[f[k].alias(k) for k in FINDING_FIELDS], F.coalesce(f["match"], doc.cut(f["start"], f["end"] - f["start"])).alias("match")))
         if self.allow_texts or self.allow_patterns:
 
             def wanted(f: Column) -> Column:

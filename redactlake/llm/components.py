@@ -1,6 +1,7 @@
 """Connected components of an edge table, by alternating stars (Kiveris et al., 2014): each round hangs every node's
-larger neighbours, then its smaller ones, under the smallest it knows. Minima are aggregated before they are joined,
-so a hub's edges need not meet in one task; each round is a written table."""
+larger neighbours, then its smaller ones, under the smallest it knows. Each round is a written table, and so are the
+minima that edges are joined with: both sides of a join are then plain exchanges, which the engine splits where a hub has
+most of the edges."""
 
 from __future__ import annotations
 
@@ -10,19 +11,19 @@ from pyspark.sql import functions as F
 from redactlake.llm.common import Scratch
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+def _least(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    return scratch.table(edges.groupBy("u").agg(F.min("v").alias("m")), name)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
+    least = _least(both, scratch, name).select("u", F.least("u", "m").alias("m"))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+    least = _least(down, scratch, name)
     moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,8 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     state, k = _state(now), 0
     while state[0]:
         k += 1
-        after = scratch.table(_small_star(_large_star(now)), str(k))
-        scratch.drop(str(k - 1))
+        large = scratch.table(_large_star(now, scratch, f"{k}-up"), f"{k}-large")
+        after = scratch.table(_small_star(large, scratch, f"{k}-down"), str(k))
+        for name in (str(k - 1), f"{k}-up", f"{k}-down", f"{k}-large"):
+            scratch.drop(name)
         now, before, state = after, state, _state(after)
         if state == before:
             break

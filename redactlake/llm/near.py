@@ -1,6 +1,12 @@
-"""Near-duplicates: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""SimHash near-duplicates, held to the similarity: links between texts whose sets of five-word shingles have a Jaccard
+similarity of at least 0.8.
 
-The search is an exact set-similarity join, not a sketch, so no pair is missed. Two sets of n and m shingles that are
+Pairs within 2 bits of 64 come from `simhash` and its bit-sliced comparison; a fingerprint is taken over the set. At
+0.8 fingerprints differ in some 10 bits, where no blocks of agreed bits are left to search by, so what they leave is
+found by an exact set-similarity join, and no link between different texts is missed. All pairs, from either source,
+are counted on their whole sets.
+
+Two sets of n and m shingles that are
 alike have a common one among the first n - ceil(0.8 n) + 1 of the one and as many of the other, in any order that
 all sets share. The order here is rare shingles first, by their counts in a sample of the texts: the sample decides
 how much is compared, not what is found. Pairs with a common leading shingle whose sizes and places still allow 0.8
@@ -8,10 +14,10 @@ are candidates. Each set has 512 bits, the parities of its hashes' counts by the
 least as many shingles as their bits do, so candidates whose bits differ in more than 0.8 allows are dropped. The
 similarity of the others is counted from their whole sets.
 
-Texts of one set are one node. A first round compares the nodes of a leading shingle with the least of them only, and
-links what is alike; the second one compares all that are not yet in one component. A large group of near copies is
-linked in the first round, so its pairs are not listed. Nodes that share a leading shingle and are not connected are
-compared in pairs.
+Texts of one set are one node. A first round compares each node with two others at most: of the least nodes of its
+leading shingles, and of the greatest, those that it shares most leading shingles with. The second round compares all
+that share a leading shingle and are not yet in one component. A large group of near copies is linked in the first
+round, in as many pairs as it has nodes.
 
 Shingles are told apart by 64 bits of hash, and so are sets. Case (ASCII) and white space are folded; a text of fewer
 words is one shingle, a null one is empty, and empty texts are alike.
@@ -26,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from redactlake.llm import simhash
 from redactlake.llm.common import Scratch, pieces, small_batches, utf8
 from redactlake.llm.components import components
 
@@ -62,6 +69,12 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set: a bit is set if it is set in over half its hashes. An empty set: 0."""
+    ones = np.unpackbits(np.ascontiguousarray(found).view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def alike(common: int, n: int, m: int) -> bool:
     """At least 0.8, in whole numbers."""
     return 5 * common >= 4 * (n + m - common)
@@ -103,7 +116,7 @@ def _frequent(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nodes(df: DataFrame) -> DataFrame:
-    """df (doc, text) to (doc, node, n, bits, keys): the set's hash, its size, its parities, its leading shingles."""
+    """df (doc, text) to (doc, node, n, fp, bits, keys): the set's hash, its size, SimHash, parities and leading shingles."""
     frequent, rank = _frequent(df)
     source = _texts(df, "doc")
 
@@ -114,9 +127,9 @@ def _nodes(df: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *map(len, keys)]).astype("i4")
             bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([parities(s) for s in found])), PARITIES).cast(pa.list_(pa.int64()))
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), bits, lists], names=["doc", "node", "n", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array([fingerprint(s) for s in found], pa.int64()), bits, lists], names=["doc", "node", "n", "fp", "bits", "keys"])
 
-    return source.mapInArrow(work, df.select("doc").schema.add("node", "long").add("n", "integer").add("bits", ArrayType(LongType())).add("keys", ArrayType(LongType())))
+    return source.mapInArrow(work, df.select("doc").schema.add("node", "long").add("n", "integer").add("fp", "long").add("bits", ArrayType(LongType())).add("keys", ArrayType(LongType())))
 
 
 def _possible(a: str, b: str):
@@ -126,6 +139,22 @@ def _possible(a: str, b: str):
     return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * most >= 4 * (n + m))
 
 
+def _by_simhash(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) that connect all nodes whose fingerprints differ in 2 bits or fewer: at most two for a node."""
+    fps = scratch.table(nodes.groupBy("fp").agg(F.min("node").alias("v")), "fps")
+    equal = nodes.select(F.col("node").alias("u"), "fp").join(fps, "fp").select("u", "v")
+    ends = simhash.links(fps.select("fp")).toDF("a", "b")
+    near = ends.join(fps.toDF("a", "u"), "a").join(fps.toDF("b", "v"), "b").select("u", "v")
+    return equal.unionByName(near).where("u <> v")
+
+
+def _closest(shared: DataFrame, end: str) -> DataFrame:
+    """Of each node the pair (u, v) with that end node of one of its leading shingles that most of them have in common."""
+    pairs = shared.where(F.col("x.node") != F.col(f"{end}.node")).where(_possible("x", end))
+    many = pairs.groupBy(F.col("x.node").alias("u"), F.col(f"{end}.node").alias("v")).agg(F.count("*").alias("c"))
+    return many.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+
+
 def _alike(df: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those of the pairs (u, v) whose sets are alike."""
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "uv")
@@ -172,15 +201,16 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     scratch = Scratch(df.sparkSession, "near")
     df = df.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     own = scratch.table(_nodes(df), "own")
-    nodes = scratch.table(own.groupBy("node").agg(F.min("doc").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
+    nodes = scratch.table(own.groupBy("node").agg(F.min("doc").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
     listed = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     same = Window.partitionBy("key")
     row = F.struct("node", "n", "pos")
-    shared = listed.select("key", row.alias("x"), F.min(row).over(same).alias("first"), F.count("*").over(same).alias("many")).where("many > 1")
-    shared = scratch.table(shared.select("key", "x", "first"), "shared")
+    shared = listed.select("key", row.alias("x"), F.min(row).over(same).alias("first"), F.max(row).over(same).alias("last")).where("first.node <> last.node")
+    shared = scratch.table(shared, "shared")
 
-    first = shared.where("x.node <> first.node").where(_possible("x", "first")).select(F.col("x.node").alias("u"), F.col("first.node").alias("v"))
-    edges = _alike(df, nodes, first.distinct(), scratch, "first")
+    first = _by_simhash(nodes, scratch).unionByName(_closest(shared, "first")).unionByName(_closest(shared, "last"))
+    first = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = _alike(df, nodes, first, scratch, "first")
     label = scratch.table(components(edges), "label")
 
     own_root = shared.select("key", "x", F.col("x.node").alias("node")).join(label, "node", "left").select("key", "x", F.coalesce("root", "node").alias("root"))
@@ -188,10 +218,12 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     rest = scratch.table(own_root.join(apart, "key", "left_semi"), "rest")
     a, b = rest.select("key", "x", "root"), rest.select("key", F.col("x").alias("y"), F.col("root").alias("other"))
     second = a.join(b, (a["key"] == b["key"]) & (F.col("x.node") < F.col("y.node")) & (F.col("root") != F.col("other")) & _possible("x", "y"))
-    second = second.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct().join(edges, ["u", "v"], "left_anti")
+    second = second.select(F.col("y.node").alias("u"), F.col("x.node").alias("v")).distinct()
     more = _alike(df, nodes, second, scratch, "second")
 
     roots = components(edges.unionByName(more))
-    member = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = member.groupBy("root").agg(F.min("least").alias("component"))
-    return own.select("doc", "node").join(member.join(least, "root").select("node", "component"), "node").select("doc", "node", "component")
+    # Tables, so that all rows of one component or one set need not meet in a task of the joins.
+    member = scratch.table(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "member")
+    least = scratch.table(member.groupBy("root").agg(F.min("least").alias("component")), "least")
+    member = scratch.table(member.join(least, "root").select("node", "component"), "component")
+    return own.select("doc", "node").join(member, "node").select("doc", "node", "component")

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from redactlake import queries as core
 
-HEADLINE = ["scan_pii_all", "mask_label", "has_sensitive", "secret_generic_api_key", "keywords_exceptions", "regex_detector", "dedupe_findings", "mask_partial", "scan_no_dedupe"]
+HEADLINE = ["scan_default", "redact_default", "scan_pii_all", "mask_label", "has_sensitive", "secret_generic_api_key", "keywords_exceptions", "regex_detector", "dedupe_findings", "mask_partial", "scan_no_dedupe"]
 
 
 def main() -> None:

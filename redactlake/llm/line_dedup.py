@@ -8,8 +8,8 @@ bitmap per document that loses lines; texts are not carried.
 
 Rules: `min_docs=None` keeps a key's first occurrence by (doc_id, position) and drops the others; `min_docs=n` drops
 every line whose key is found in n documents or more. A key shorter than `min_chars` code points is never dropped.
-Documents are told apart by doc_id and text: null ids count like any other value, null texts are one empty line,
-repeated rows are one document. Ties are settled by doc_id, then text hash. Empty tables give empty results.
+Documents are told apart by doc_id and text, so rows that repeat an id with another text are documents of their own:
+null ids count like any other value, null texts are one empty line, repeated rows are one document. Ties are settled by doc_id, then text hash. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from redactlake.llm.common import Scratch, parallelism, pieces, small_batches, utf8
+from redactlake.llm.common import Scratch, numbered, parallelism, pieces, place, small_batches, utf8
 
 SPACE = b" \t\n\x0b\x0c\r"
 _RUN = "h1 long, h2 long, dh long, doc {doc}, th long, n_lines int, first int, more binary"
@@ -182,29 +182,29 @@ def keep_bitmaps(df: DataFrame, doc: str = "doc_id", text: str = "text", min_doc
 
 
 def keep_lines(df: DataFrame, bitmaps: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df with `_n_lines`, `_n_dropped` and `_kept`, the text without the dropped lines."""
-    names = df.columns
-    left = df.withColumn("_th", text_hash(text)).alias("d")
-    marks = bitmaps.select(F.col("doc").alias("_doc"), F.col("th").alias("_mark"), F.col("keep").alias("_keep"))
-    joined = left.join(marks, (left[doc].eqNullSafe(marks["_doc"])) & (left["_th"] == marks["_mark"]), "left")
-    source = joined.select(*[left[c] for c in names], utf8(left[text]).alias("_data"), "_keep")
-    schema = StructType(list(df.schema))
+    """The rows of df with `_n_lines`, `_n_dropped` and `_kept`, the text without the dropped lines. Columns of these
+    names are replaced, others may have any name."""
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in ("_n_lines", "_n_dropped", "_kept")]
+    k = len(keep)
+    left = numbered(df).withColumn("th", text_hash(place(df, text)))
+    marks = bitmaps.select(F.col("doc").alias("mark_doc"), F.col("th").alias("mark_th"), F.col("keep").alias("mark_keep"))
+    joined = left.join(marks, F.col(place(df, doc)).eqNullSafe(F.col("mark_doc")) & (F.col("th") == F.col("mark_th")), "left")
+    source = joined.select(*(f"c{i}" for i in keep), utf8(place(df, text)).alias("data"), "mark_keep")
+    schema = StructType([df.schema.fields[i] for i in keep])
     for name, t in (("_n_lines", "long"), ("_n_dropped", "long"), ("_kept", "string")):
         schema = schema.add(name, t)
 
     def work(batches):
-        for b in pieces(batches, "_data"):
-            k = len(names)
+        for b in pieces(batches, "data"):
             lines_n, dropped_n, kept = [], [], []
-            for data, keep in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True):
+            for data, mark in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True):
                 lines = data.split(b"\n")
                 lines_n.append(len(lines))
-                if keep is not None:
-                    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), "u1"), count=len(lines)).tolist()
+                if mark is not None:
+                    bits = np.unpackbits(np.frombuffer(zlib.decompress(mark), "u1"), count=len(lines)).tolist()
                     lines = [x for x, y in zip(lines, bits, strict=True) if y]
                 dropped_n.append(lines_n[-1] - len(lines))
                 kept.append(b"\n".join(lines).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(lines_n, pa.int64()), pa.array(dropped_n, pa.int64()), pa.array(kept, pa.string())], names=[*names, "_n_lines", "_n_dropped", "_kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(lines_n, pa.int64()), pa.array(dropped_n, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
 
     return source.mapInArrow(work, schema)
-

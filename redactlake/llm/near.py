@@ -15,7 +15,7 @@ least as many shingles as their bits do, so candidates whose bits differ in more
 similarity of the others is counted from their whole sets.
 
 Texts of one set are one node. A first round compares each node with two others at most: of the least nodes of its
-leading shingles, and of the greatest, those that it shares most leading shingles with. The second round compares all
+rarest shingles, and of the greatest, those that it shares most leading shingles with. The second round compares all
 that share a leading shingle and are not yet in one component. A large group of near copies is linked in the first
 round, in as many pairs as it has nodes.
 
@@ -40,8 +40,8 @@ WIDTH = 5
 #: Of the texts, one in SAMPLE is counted for the order; the shingles found there most often come last in it.
 SAMPLE, FREQUENT = 16, 1 << 16
 SLOTS, BUCKET_BITS = 1 << 24, 32_768
-#: Words of 64 bits of parities.
-PARITIES = 8
+#: Words of 64 bits of parities; leading shingles that a node looks for others by in the first round.
+PARITIES, FIRST = 8, 8
 
 
 def shingles(data: bytes, width: int = WIDTH) -> np.ndarray:
@@ -149,8 +149,8 @@ def _by_simhash(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _closest(shared: DataFrame, end: str) -> DataFrame:
-    """Of each node the pair (u, v) with that end node of one of its leading shingles that most of them have in common."""
-    pairs = shared.where(F.col("x.node") != F.col(f"{end}.node")).where(_possible("x", end))
+    """Of each node the pair (u, v) with that end node of one of its FIRST leading shingles that most of them have in common."""
+    pairs = shared.where((F.col("x.pos") < FIRST) & (F.col("x.node") != F.col(f"{end}.node"))).where(_possible("x", end))
     many = pairs.groupBy(F.col("x.node").alias("u"), F.col(f"{end}.node").alias("v")).agg(F.count("*").alias("c"))
     return many.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
 
@@ -216,6 +216,7 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     own_root = shared.select("key", "x", F.col("x.node").alias("node")).join(label, "node", "left").select("key", "x", F.coalesce("root", "node").alias("root"))
     apart = own_root.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     rest = scratch.table(own_root.join(apart, "key", "left_semi"), "rest")
+    scratch.drop("shared")
     a, b = rest.select("key", "x", "root"), rest.select("key", F.col("x").alias("y"), F.col("root").alias("other"))
     second = a.join(b, (a["key"] == b["key"]) & (F.col("x.node") < F.col("y.node")) & (F.col("root") != F.col("other")) & _possible("x", "y"))
     second = second.select(F.col("y.node").alias("u"), F.col("x.node").alias("v")).distinct()

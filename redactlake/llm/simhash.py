@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import Scratch, pieces, small_batches, utf8
+from redactlake.llm.common import Scratch, carried, pieces, small_batches
 from redactlake.llm.components import components
 
 RADIUS = 2
@@ -45,17 +45,18 @@ def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """df without its text, with `fp`, long: the fingerprint as a signed integer. Null texts count as empty."""
+    """df without its text, with `fp`, long: the fingerprint as a signed integer. Null texts count as empty. A column
+    named fp is replaced, others may have any name."""
     small_batches(df.sparkSession)
-    names = [c for c in df.columns if c not in (text, "fp")]
-    source = df.select(*names, utf8(text).alias("_data"))
+    source, schema = carried(df, text, text, "fp")
+    schema = schema.add("fp", "long")
 
     def work(batches):
-        for b in pieces(batches, "_data"):
-            fp = np.fromiter((fingerprint(x, width, seed) for x in b.column(len(names)).to_pylist()), "u8", b.num_rows).view("i8")
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*names, "fp"])
+        for b in pieces(batches, "data"):
+            fp = np.fromiter((fingerprint(x, width, seed) for x in b.column(b.num_columns - 1).to_pylist()), "u8", b.num_rows).view("i8")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=schema.names)
 
-    return source.mapInArrow(work, df.select(*names).schema.add("fp", "long"))
+    return source.mapInArrow(work, schema)
 
 
 def near_pairs(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -153,12 +154,14 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)
     keys = F.array(*(F.lit(k << 32).cast("long") + F.shiftleft(block(a), 16) + block(b) for k, (a, b) in enumerate(BLOCKS)))
     keyed = fps.select("fp", F.explode(keys).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    shared = keyed.join(counts.where((F.col("n") > 1) & (F.col("n") <= bucket)), "key").select("key", "fp")
+    # A table, so that both sides of the joins are plain exchanges, which the engine splits at a hot bucket.
+    counts = Scratch(fps.sparkSession, "buckets").table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    shared = keyed.join(counts.where(F.col("n") <= bucket), "key").select("key", "fp")
     found = shared.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_links, "u long, v long")
     hot = keyed.join(counts.where(F.col("n") > bucket), "key", "left_semi").select("fp").distinct()
     changes = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(np.uint64(1 << i).astype("i8").item())) for i in range(64)))
     listed = hot.select("fp", F.explode(changes).alias("at"))
+    # At most 65 fingerprints are listed at a place.
     least = listed.groupBy("at").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("at", "v")
     return found.unionByName(listed.join(least, "at").select(F.col("fp").alias("u"), "v").where("u <> v").distinct())
 
@@ -173,7 +176,8 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", buck
     own = scratch.table(fingerprints(df.select(F.col(doc).alias("doc"), F.col(text).alias("text"))), "fp")
     fps = scratch.table(own.groupBy("fp").agg(F.min("doc").alias("least")), "distinct")
     roots = components(links(fps.select("fp"), bucket))
-    member = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = member.groupBy("root").agg(F.min("least").alias("component"))
-    member = member.join(least, "root").select("fp", "component")
+    # Tables, so that all rows of one component or one fingerprint need not meet in a task of the joins.
+    member = scratch.table(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "member")
+    least = scratch.table(member.groupBy("root").agg(F.min("least").alias("component")), "least")
+    member = scratch.table(member.join(least, "root").select("fp", "component"), "component")
     return own.join(member, "fp").select("doc", "fp", "component")

@@ -34,12 +34,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from redactlake.llm.common import Scratch, parallelism, pieces, small_batches, utf8
+from redactlake.llm.common import Scratch, numbered, parallelism, pieces, place, small_batches, utf8
 
 LENGTH = 200
 SEED = 24
 #: Occurrences from which an anchor's windows are counted by hash.
 HOT = 1_000_000
+#: Suffixes in a key range, about.
+RANGE = 50_000
 #: Bytes scanned for anchors at a time, and suffixes judged at a time.
 SCAN_BYTES, JUDGED = 1 << 20, 50_000
 _MASK = np.uint64((1 << 24) - 1)
@@ -301,7 +303,6 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, seed
     spark = df.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "suffixes")
-    n_ranges = parallelism(spark)
     source = df.select(*text_keys(text), utf8(text).alias("data")).where(F.length("data") >= length)
 
     def find(batches):
@@ -317,9 +318,13 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, seed
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), b.column(0).take(take), pa.array(tag << 32 | np.concatenate(ats))], names=["seed", "text_hash", "at"])
 
     found = source.mapInArrow(find, "seed long, text_hash long, at long")
-    # Copies of a text list the same places; an anchor counts only if two of its places differ.
-    places = found.distinct()
-    shared = places.join(places.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "seed")
+    # Copies of a text list the same places; an anchor counts only if two of its places differ. Both sides of the join
+    # are tables, so that the engine can split it at a seed with most of the places.
+    places = scratch.table(found.distinct(), "places")
+    counts = scratch.table(places.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    total = counts.agg(F.coalesce(F.sum(F.when(F.col("n") <= hot, F.col("n"))), F.lit(0))).first()[0]
+    n_ranges = max(parallelism(spark), -(-total // RANGE))
+    shared = places.join(counts, "seed")
     per_text = shared.select("text_hash", F.shiftright("at", 32).cast("int").alias("text_tag"), F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("at"), (F.col("n") > hot).alias("hot")).alias("a"))
     per_text = per_text.groupBy("text_hash", "text_tag").agg(F.collect_set("a").alias("anchors"))
     texts = source.groupBy("text_hash", "text_tag").agg(F.first("data").alias("data")).join(per_text, ["text_hash", "text_tag"])
@@ -374,24 +379,28 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, seed
 
 
 def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED, hot: int = HOT, as_text: bool = False) -> DataFrame:
-    """The rows of df with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept`, the remaining bytes (binary).
+    """The rows of df with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept`, the remaining bytes (binary). Columns of
+    these names are replaced, others may have any name.
 
     as_text: `_kept` is a string; bytes of characters that were cut in two go as well.
     """
-    spans = Scratch(df.sparkSession, "spans").table(repeated_spans(df, text, length, seed, hot), "spans")
-    names = df.columns
-    marked = df.withColumns({"_th": text_keys(text)[0], "_tag": text_keys(text)[1]})
-    copies = marked.groupBy("_th", "_tag").agg(F.count("*").alias("_copies"))
-    right = copies.join(spans.select(F.col("text_hash").alias("_th"), F.col("text_tag").alias("_tag"), "spans"), ["_th", "_tag"], "left").where("_copies > 1 OR spans IS NOT NULL")
-    joined = marked.join(right, ["_th", "_tag"], "left").select(*names, utf8(marked[text]).alias("_data"), (F.coalesce("_copies", F.lit(1)) > 1).alias("_copied"), "spans")
-    schema = StructType(list(df.schema))
+    scratch = Scratch(df.sparkSession, "spans")
+    spans = scratch.table(repeated_spans(df, text, length, seed, hot), "spans")
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in ("_n_bytes", "_n_removed", "_n_spans", "_kept")]
+    source, keys = numbered(df), ["text_hash", "text_tag"]
+    marked = source.select("*", *text_keys(place(df, text)))
+    # A table, so that the engine can split the join with the texts where one has most of the copies.
+    copies = marked.groupBy(*keys).agg(F.count("*").alias("copies"))
+    right = scratch.table(copies.join(spans, keys, "left").where("copies > 1 OR spans IS NOT NULL"), "marks")
+    joined = marked.join(right, keys, "left").select(*(f"c{i}" for i in keep), utf8(place(df, text)).alias("data"), (F.coalesce("copies", F.lit(1)) > 1).alias("copied"), "spans")
+    schema = StructType([df.schema.fields[i] for i in keep])
     for name, t in (("_n_bytes", "long"), ("_n_removed", "long"), ("_n_spans", "long"), ("_kept", "string" if as_text else "binary")):
         schema = schema.add(name, t)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
 
     def work(batches):
-        for b in pieces(batches, "_data"):
-            k, rows = len(names), []
+        for b in pieces(batches, "data"):
+            k, rows = len(keep), []
             for data, copied, found in zip(*(b.column(k + i).to_pylist() for i in range(3)), strict=True):
                 n = len(data)
                 if copied and n >= length:

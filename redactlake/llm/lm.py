@@ -3,10 +3,13 @@
 1. Each batch of documents gets a dictionary of its own; documents become ids in it. One join of all dictionary
    entries with the corpus counts tells what each id stands for, so no vocabulary is broadcast and a hot word has one
    entry per batch.
-2. Symbols are the commonest words, at most HEAD, and classes of the others by their ends. A rarer word's probability
+2. Symbols are the HEAD - 1 commonest words (of equal counts the lesser by their bytes), the end, and classes of the
+   others by their ends. A rarer word's probability
    is that of its class times its share of the class (one more than its count; unseen words share one place).
-3. Baum-Welch: tasks run forward and backward over their documents, in segments, and their expected counts are added
-   up across partitions; the model, of bounded size, goes back to the tasks.
+3. Baum-Welch: tasks run forward and backward over their documents, and their expected counts are added up across
+   partitions; the model, of bounded size, goes back to the tasks. Long texts are trained on in segments that overlap:
+   a segment's recursions begin and end OVERLAP tokens outside of it, and only what lies in it is counted, transitions
+   into it included. So all transitions of a text count once, whatever its length.
 4. The score of a text is the exact scaled forward recursion over all of it. Long texts are cut: what a later part
    does to each state is computed for all parts at once and then chained.
 
@@ -30,8 +33,8 @@ from redactlake.llm.common import Scratch, pieces, small_batches, utf8
 STATES, ROUNDS = 12, 5
 #: Words with a symbol of their own, and classes of the others.
 HEAD, CLASSES = 16_384, 512
-#: Tokens of a training segment; of a part of a long text; at once in memory.
-SEGMENT, PART, AT_ONCE = 1024, 8192, 1 << 20
+#: Tokens of a training segment, and before and behind it; of a part of a long text; at once in memory.
+SEGMENT, OVERLAP, PART, AT_ONCE = 1024, 64, 8192, 1 << 20
 #: Bytes of text that share a dictionary.
 BATCH = 24 << 20
 #: Weight of the unigram distribution in each state's emissions, in tokens.
@@ -121,20 +124,29 @@ def _gathered(batches):
 def _vocabulary(counts: DataFrame) -> Vocabulary:
     """counts: (word, c, cls) of training tokens."""
     level = F.floor(F.log2("c") * 8)
-    levels = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # some hundred rows at most
-    room, bar = HEAD - 1, 1 << 60
+    own = counts.where(F.col("word") != F.lit(END)).withColumn("level", level)
+    levels = sorted(((r["level"], r["n"]) for r in own.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True)  # some hundred rows at most
+    # Whole levels of counts, and of the one that does not fit as many words as there is room for.
+    room, cut = HEAD - 1, -1
     for at, n in levels:
         if n > room:
+            cut = at
             break
-        room, bar = room - n, at
-    head = (level >= bar) | (F.col("word") == F.lit(END))
-    common = {bytes(r["word"]): r["c"] for r in counts.where(head).select("word", "c").collect()}  # HEAD rows at most
-    words = [END, *sorted(w for w in common if w != END)]
+        room -= n
+    take = own.where(F.col("level") > cut).select("word", "c", "cls")
+    part = own.where(F.col("level") == cut).orderBy(F.desc("c"), "word").limit(room).select("word", "c", "cls")
+    chosen = take.collect() + (part.collect() if room else [])  # HEAD rows at most
+    common = {bytes(r["word"]): r["c"] for r in chosen}
+    words = [END, *sorted(common)]
+    ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     class_tokens, class_words = np.zeros(CLASSES, "i8"), np.zeros(CLASSES, "i8")
-    for r in counts.where(~head).groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # CLASSES rows at most
+    for r in own.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # CLASSES rows at most
         class_tokens[r["cls"]], class_words[r["cls"]] = r["c"], r["n"]
-    return Vocabulary(words, tokens, kinds, class_tokens, class_words, np.concatenate([[common.get(w, 0) for w in words], class_tokens]).astype("f8"))
+    for r in chosen:
+        class_tokens[r["cls"]] -= r["c"]
+        class_words[r["cls"]] -= 1
+    return Vocabulary(words, tokens, kinds, class_tokens, class_words, np.concatenate([[ends], [common[w] for w in words[1:]], class_tokens]).astype("f8"))
 
 
 def _encoded(table: DataFrame, counts: DataFrame, v: Vocabulary, kind: str) -> DataFrame:
@@ -169,47 +181,56 @@ def _symbols(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(d.decompress(x), "<u2") for x in column.to_pylist()]
 
 
-def _time_major(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, symbols by time, active rows at each time): rows sorted by falling length."""
+def _time_major(rows: list[np.ndarray], core: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, symbols by time, active rows at each time, what of the symbols is in the core): rows sorted by falling
+    length. core: the range of each row that counts."""
     sizes = np.array([len(r) for r in rows])
     order = np.argsort(-sizes, kind="stable")
     sizes = sizes[order]
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
     starts = np.r_[0, np.cumsum(active)]
-    flat = np.empty(starts[-1], "i8")
+    flat, inside = np.empty(starts[-1], "i8"), np.ones(starts[-1], bool)
     for i, k in enumerate(order.tolist()):
         flat[starts[: sizes[i]] + i] = rows[k]
-    return order, flat, active
-
-
-def expected(model: Model, rows: list[np.ndarray], opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts (start, move, emit) and the log likelihood of segments. opens: which begin a text; the others
-    begin in the state distribution that the model's moves tend to."""
-    order, flat, active = _time_major(rows)
+        if core is not None:
+            low, high = core[k]
+            inside[starts[:low] + i] = False
+            inside[starts[high : sizes[i]] + i] = False
+    return order, flat, active, inside
+
+
+def expected(model: Model, rows: list[np.ndarray], opens: np.ndarray, core: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (start, move, emit) of segments and the log likelihood of all their tokens. opens: which begin
+    a text; the others begin in the state distribution that the model's moves tend to. core: the range of each segment
+    that counts (all of it). In single precision, which scaled numbers can do with; sums are in double."""
+    order, flat, active, inside = _time_major(rows, core)
     k = len(model.start)
-    at = np.r_[0, np.cumsum(active)]
+    at, whole = np.r_[0, np.cumsum(active)], bool(inside.all())
+    moves, emits = model.move.astype("f4"), model.emit.astype("f4")
     # Emissions are looked up again going backward: kept for all times they would be as large as alpha.
-    alpha, scale = np.empty((len(flat), k)), np.empty(len(flat))
+    alpha, scale = np.empty((len(flat), k), "f4"), np.empty(len(flat), "f4")
     settled = np.linalg.matrix_power(model.move, 64)[0]
-    a = np.where(opens[order][:, None], model.start, settled) * model.emit[flat[: active[0]]]
+    a = np.where(opens[order][:, None], model.start, settled).astype("f4") * emits[flat[: active[0]]]
     for t, n in enumerate(active.tolist()):
         if t:
-            a = (a[:n] @ model.move) * model.emit[flat[at[t] : at[t] + n]]
+            a = (a[:n] @ moves) * emits[flat[at[t] : at[t] + n]]
         s = a.sum(1)
         a /= s[:, None]
         alpha[at[t] : at[t] + n], scale[at[t] : at[t] + n] = a, s
-    move, b = np.zeros((k, k)), np.ones((active[-1], k))
+    move, b = np.zeros((k, k)), np.ones((active[-1], k), "f4")
     for t in range(len(active) - 2, -1, -1):
         n, m = active[t], active[t + 1]
         later = slice(at[t + 1], at[t + 1] + m)
-        w = model.emit[flat[later]] * b / scale[later, None]
-        move += alpha[at[t] : at[t] + m].T @ w
+        w = emits[flat[later]] * b / scale[later, None]
+        move += alpha[at[t] : at[t] + m].T @ (w if whole else w * inside[later, None])
         alpha[later] *= b
-        b = np.ones((n, k))
-        b[:m] = w @ model.move.T
+        b = np.ones((n, k), "f4")
+        b[:m] = w @ moves.T
     alpha[: active[0]] *= b
+    if not whole:
+        alpha *= inside[:, None]
     emit = np.stack([np.bincount(flat, alpha[:, j], len(model.emit)) for j in range(k)], 1)
-    return alpha[: active[0]][opens[order]].sum(0), move * model.move, emit, float(np.log(scale).sum())
+    return alpha[: active[0]][opens[order]].sum(0, dtype="f8"), move * model.move, emit, float(np.log(scale.astype("f8")).sum())
 
 
 def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -222,7 +243,7 @@ def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
                 rows.append(x[at : at + PART])
                 states.append(j)
                 of.append((i, at))
-    order, flat, active = _time_major(rows)
+    order, flat, active, _ = _time_major(rows)
     state = np.array(states)[order]
     first = np.where(state[:, None] < 0, model.start, model.move[np.maximum(state, 0)])
     total, last = np.zeros(len(rows)), np.empty((len(rows), k))
@@ -277,10 +298,10 @@ def _round(encoded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
 
     def work(batches):
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((s, k))
-        rows, opens, held = [], [], 0
+        rows, opens, core, held = [], [], [], 0
 
         def add():
-            a, b, c, _ = expected(model, rows, np.array(opens))
+            a, b, c, _ = expected(model, rows, np.array(opens), core)
             start[:] += a
             move[:] += b
             emit[:] += c
@@ -288,12 +309,14 @@ def _round(encoded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
         for b in batches:
             for x in _symbols(b.column(0)):
                 for at in range(0, len(x), SEGMENT):
-                    rows.append(x[at : at + SEGMENT])
+                    low, end = max(at - OVERLAP, 0), min(at + SEGMENT, len(x))
+                    rows.append(x[low : end + OVERLAP])
                     opens.append(at == 0)
+                    core.append((at - low, end - low))
                     held += len(rows[-1])
                     if held >= AT_ONCE:
                         add()
-                        rows, opens, held = [], [], 0
+                        rows, opens, core, held = [], [], [], 0
         if rows:
             add()
         task = TaskContext.get().partitionId()
@@ -319,13 +342,8 @@ def _round(encoded: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
     return last[0], last[1:], np.concatenate([got[i] for i in range(n_blocks)])
 
 
-def score(df: DataFrame, held_out, doc: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
-
-    held_out: condition of rows that nothing is learned from (null: false). base_score is the unigram model's log10
-    probability, score the hidden Markov model's. With no training rows all words are unseen. Repeated rows and null
-    docs are rows like others. Empty tables give an empty result.
-    """
+def trained(df: DataFrame, held_out, doc: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> tuple[DataFrame, Vocabulary, Model]:
+    """The encoded table of all rows, and the vocabulary and model of those that are not held out."""
     scratch, kind = Scratch(df.sparkSession, "lm"), df.schema[doc].dataType.simpleString()
     table = scratch.table(_dictionaries(df, doc, text, held_out, kind), "batches")
     counts = scratch.table(table.where("train > 0").groupBy("word").agg(F.sum("train").alias("c"), F.min("cls").alias("cls")), "counts")
@@ -336,6 +354,18 @@ def score(df: DataFrame, held_out, doc: str = "doc_id", text: str = "text", stat
     model = initial(v, states)
     for _ in range(rounds):
         model = _fitted(v, *_round(encoded, model))
+    return encoded, v, model
+
+
+def score(df: DataFrame, held_out, doc: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    held_out: condition of rows that nothing is learned from (null: false). base_score is the unigram model's log10
+    probability, score the hidden Markov model's. With no training rows all words are unseen. Repeated rows and null
+    docs are rows like others. Empty tables give an empty result. Other columns are not looked at.
+    """
+    kind = df.schema[doc].dataType.simpleString()
+    encoded, v, model = trained(df, held_out, doc, text, states, rounds)
 
     def work(batches):
         names = ["doc", "held_out", "n_tokens", "n_known", "base_score", "score"]

@@ -8,8 +8,8 @@ of the two tokens' bytes gives these two tokens again; such answers are remember
 
 from __future__ import annotations
 
-import gc
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from redactlake.llm.common import pieces, small_batches, utf8
+from redactlake.llm.common import carried, pieces, small_batches
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Parts that a worker caches before it begins anew, and looks into what it had for as long again.
@@ -28,8 +27,9 @@ CACHE_ENTRIES = 250_000
 ENCODE_BYTES = 4 << 20
 #: Pairs of tokens whose answers a worker remembers.
 FOLLOWS_ENTRIES = 500_000
-#: Words in one trie.
-TRIE_WORDS = 50_000
+#: Words in one trie; bytes from which a word goes through the automaton by itself; characters from which a part is not
+#: cached.
+TRIE_WORDS, LONG_WORD, LONG_PART = 50_000, 512, 512
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -131,26 +131,37 @@ class TrieEncoder:
 
     def encode(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Each distinct word with its ids as little-endian unsigned 32-bit integers."""
-        trie: dict = {}
-        count = 0
+        held = []
         for word in words:
-            node = trie
-            for b in word:
-                node = node.get(b) or node.setdefault(b, {})
-            node[-1] = word
-            count += 1
-            if count == TRIE_WORDS:
-                yield from self._walk(trie)
-                trie, count = {}, 0
-        yield from self._walk(trie)
-
-    def _walk(self, trie: dict) -> Iterator[tuple[bytes, bytes]]:
+            if len(word) >= LONG_WORD:
+                yield word, self._alone(word)
+                continue
+            held.append(word)
+            if len(held) == TRIE_WORDS:
+                yield from self._walk(held)
+                held = []
+        yield from self._walk(held)
+
+    def _walk(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Depth-first over the words' trie. It is kept flat, as the sorted words and how many bytes each shares with
+        the one before: a word's nodes below that depth are its own, those above are the path walked last."""
+        words.sort()
+        sizes = np.fromiter(map(len, words), "i8", len(words))
+        shared = np.zeros(len(words), "i8")
+        if len(words) > 1:
+            rows = np.array(words).view("u1").reshape(len(words), -1)
+            differs = rows[1:] != rows[:-1]
+            shared[1:] = np.where(differs.any(1), differs.argmax(1), np.minimum(sizes[1:], sizes[:-1]))
         ends, moves, follows, packed = self.ends, self.moves, self.follows, self.packed
-        last, length = [-1], [0]  # by depth on the current path: the last token of that prefix, and its bytes
-        stack = [(trie, 0, 0)]
-        while stack:
-            node, depth, state = stack.pop()
-            if depth:
+        # By depth on the current path: the last token of that prefix, its bytes, the automaton's state.
+        last, length, states = [-1], [0], [0]
+        for word, depth in zip(words, shared.tolist(), strict=True):
+            del last[depth + 1 :], length[depth + 1 :], states[depth + 1 :]
+            state = states[depth]
+            for b in word[depth:]:
+                depth += 1
+                to = moves.get(state << 8 | b)
+                state = self.move(state, b) if to is None else to
                 for k, token in ends[state]:  # the longest first; just one is right
                     before = last[depth - k]
                     ok = follows.get(before << 20 | token)
@@ -158,20 +169,38 @@ class TrieEncoder:
                         break
                 else:
                     raise ValueError("no token can end here")
-                del last[depth:], length[depth:]
                 last.append(token)
                 length.append(k)
-            for b, child in node.items():
-                if b >= 0:
-                    to = moves.get(state << 8 | b)
-                    stack.append((child, depth + 1, self.move(state, b) if to is None else to))
-                    continue
-                at, out = depth, []
-                while at:
-                    out.append(packed[last[at]])
-                    at -= length[at]
-                out.reverse()
-                yield child, b"".join(out)
+                states.append(state)
+            out = []
+            while depth:
+                out.append(packed[last[depth]])
+                depth -= length[depth]
+            out.reverse()
+            yield word, b"".join(out)
+
+    def _alone(self, word: bytes) -> bytes:
+        """The ids of one word, in some ten bytes of memory for each of its own."""
+        ends, moves, follows = self.ends, self.moves, self.follows
+        last, length, state = array("i", [-1]), array("i", [0]), 0
+        for depth, b in enumerate(word, 1):
+            to = moves.get(state << 8 | b)
+            state = self.move(state, b) if to is None else to
+            for k, token in ends[state]:
+                before = last[depth - k]
+                ok = follows.get(before << 20 | token)
+                if self.may_follow(before, token) if ok is None else ok:
+                    break
+            else:
+                raise ValueError("no token can end here")
+            last.append(token)
+            length.append(k)
+        out, at = array("I"), len(word)
+        while at:
+            out.append(last[at])
+            at -= length[at]
+        out.reverse()
+        return out.tobytes()
 
 
 class TextEncoder:
@@ -196,7 +225,10 @@ class TextEncoder:
         cut: list[tuple[dict, str, list[str] | None]] = []
         for known, parts, space in ((self.first, first, ""), (self.after, after, " ")):
             for p in parts:
-                cut.append((known, p, None if not p or p[0].isspace() or p[-1].isspace() else self.find(space + p)))
+                if p.isalpha():  # one word of the pattern
+                    cut.append((known, p, [space + p]))
+                else:
+                    cut.append((known, p, None if not p or p[0].isspace() or p[-1].isspace() else self.find(space + p)))
         ids = self._words({w for _, _, ws in cut if ws for w in ws})
         for known, p, ws in cut:
             known[p] = None if ws is None else ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
@@ -224,13 +256,10 @@ class TextEncoder:
                         after.update(line[1:])
         if len(self.first) + len(self.after) > self.limit:
             self.aged, self.first, self.after = (self.first, self.after), {}, {}
+        long = [[p for p in parts if len(p) > LONG_PART] for parts in (first, after)]
         for known, old, parts in zip((self.first, self.after), self.aged, (first, after), strict=True):
             known.update((p, old[p]) for p in parts.difference(known) if p in old)
-        collecting = gc.isenabled()
-        gc.disable()  # a trie is many small dicts and has no cycles
         self._learn(first.difference(self.first), after.difference(self.after))
-        if collecting:
-            gc.enable()
         out = []
         for plan in plans:
             got = []
@@ -245,8 +274,12 @@ class TextEncoder:
                     ids = self._words(set(words))
                     got.append(b"".join(map(ids.__getitem__, words)))
             out.append(b"".join(got))
+        for known, parts in zip((self.first, self.after), long, strict=True):
+            for p in parts:
+                known.pop(p, None)
         return out
 
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -262,25 +295,25 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = N
     """Adds `ids`, binary: the ids of the whole text (null: empty) as little-endian unsigned 32-bit integers.
 
     decoded: name of a further column, the text that the ids give again. Extra columns stay; equal rows give equal
-    ids; empty tables give empty results. A column named ids or `_utf8` is replaced. Texts go to workers in batches of
-    bounded bytes; nothing is shuffled.
+    ids; empty tables give empty results. A column named ids or as `decoded` is replaced, others may have any name.
+    Texts go to workers in batches of bounded bytes, words of any length take memory in proportion; nothing is shuffled.
     """
     small_batches(df.sparkSession)
-    names = [c for c in df.columns if c not in ("ids", "_utf8", decoded)]
-    source = df.select(*[df[c] for c in names], utf8(df[text]).alias("_utf8"))
-    schema = df.select(*[df[c] for c in names]).schema.add("ids", "binary")
+    source, schema = carried(df, text, "ids", decoded)
+    n = len(schema)
+    schema = schema.add("ids", "binary")
     if decoded:
         schema = schema.add(decoded, "string")
 
     def work(batches):
         e = encoder(path)
         of = token_bytes(path) if decoded else []
-        for b in pieces(batches, "_utf8", ENCODE_BYTES):
-            ids = e.encode([t.decode("utf-8", "replace") for t in b.column(len(names)).to_pylist()])
+        for b in pieces(batches, "data", ENCODE_BYTES):
+            ids = e.encode([t.decode("utf-8", "replace") for t in b.column(n).to_pylist()])
             made = [pa.array(ids, pa.binary())]
             if decoded:
                 made.append(pa.array([_decoded(x, of) for x in ids], pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *made], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made], names=schema.names)
 
     return source.mapInArrow(work, schema)
 
@@ -290,16 +323,15 @@ def _decoded(ids: bytes, of: list[bytes]) -> str:
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Adds the text that ids stand for; null ids give the empty text."""
-    names = [c for c in df.columns if c not in (to, "_ids")]
-    source = df.select(*[df[c] for c in names], F.coalesce(df[ids], F.lit(b"")).alias("_ids"))
-    schema = df.select(*[df[c] for c in names]).schema.add(to, "string")
+    """Adds the text that ids stand for; null ids give the empty text. A column named as `to` is replaced."""
+    source, schema = carried(df, ids, to)
+    n = len(schema)
+    schema = schema.add(to, "string")
 
     def work(batches):
         of = token_bytes(path)
-        for b in pieces(batches, "_ids"):
-            k = b.schema.get_field_index("_ids")
-            out = [_decoded(x, of) for x in b.column(k).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(out, pa.string())], names=[*names, to])
+        for b in pieces(batches, "data"):
+            out = [_decoded(x, of) for x in b.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.string())], names=schema.names)
 
     return source.mapInArrow(work, schema)

@@ -4,9 +4,12 @@ A text's canonical form is NFKC, case-folded, NFKC again, with white space folde
 the 128-bit XXH3 of that form. Texts of one hash are then compared byte by byte: where they differ, each distinct form
 gets a number behind the hash, so fingerprints are equal just if canonical forms are.
 
-Only texts whose hash prefix occurs twice take part in the comparison (a bitmap of 2^24 slots, of the same size for any
-input, tells which), each batch sends a form once, and what comes back is the forms that collide, which with 128 bits
-is an empty table.
+Only texts whose hash prefix occurs twice take part in the comparison. A bitmap tells which: it has some 64 slots a row,
+2^24 to 2^28 of them (2 to 32 MB; beyond four million rows ever more texts take part, and in the end all do). Each batch
+sends a form once, and what comes back is the forms that collide, which with 128 bits is an empty table. Of a form that many rows have, each task sends one.
+
+Edited texts are compared by hash only: one that collides with a known form that it differs from gets the number behind
+the known ones.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import Scratch, parallelism, pieces, small_batches, utf8
+from redactlake.llm.common import Scratch, carried, parallelism, pieces, small_batches, utf8
 
-SLOT_BYTES, BUCKET_BITS = 3, 32_768
+SLOT_BITS, BUCKET_BITS = (24, 28), 32_768
+#: Bytes of forms that a task knows it has sent already.
+SENT = 32 << 20
 #: Colliding hashes that are handled; more than a few would mean a broken hash.
 COLLISIONS = 10_000
 
@@ -59,26 +64,36 @@ def collisions(df: DataFrame, text: str = "text", hashed=digest) -> dict[bytes,
     small_batches(spark)
     scratch = Scratch(spark, "fingerprints")
     source = df.select(utf8(text).alias("data"))
+    shift = 64 - min(max((source.count() * 64).bit_length(), SLOT_BITS[0]), SLOT_BITS[1])
+
+    def slot(h: bytes) -> int:
+        return int.from_bytes(h[:8], "big") >> shift
 
     def forms(b):
         return (canonical(t.decode("utf-8", "replace")) for t in b.column(0).to_pylist())
 
     def slots(batches):
         for b in pieces(batches, "data"):
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(hashed(f)[:SLOT_BYTES], "big") for f in forms(b)], pa.int64())], names=["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array([slot(hashed(f)) for f in forms(b)], pa.int64())], names=["slot"])
 
     twice = source.mapInArrow(slots, "slot long").groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
     maps = twice.groupBy(F.expr(f"slot DIV {BUCKET_BITS}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(slot % {BUCKET_BITS})").alias("bits"))
-    shared = {r["bucket"]: bytes(r["bits"]) for r in maps.collect()}  # 2 MB at most
+    shared = {r["bucket"]: bytes(r["bits"]) for r in maps.collect()}  # a bit a slot
 
     def candidates(batches):
+        """A form once for each task, or once for each SENT bytes of others."""
+        sent, size = set(), 0
         for b in pieces(batches, "data"):
-            seen = {}
+            seen = []
             for f in forms(b):
                 h = hashed(f)
-                bucket, bit = divmod(int.from_bytes(h[:SLOT_BYTES], "big"), BUCKET_BITS)
-                if bucket in shared and shared[bucket][bit >> 3] >> (bit & 7) & 1:
-                    seen.setdefault((h, f))
+                bucket, bit = divmod(slot(h), BUCKET_BITS)
+                if bucket in shared and shared[bucket][bit >> 3] >> (bit & 7) & 1 and f not in sent:
+                    if size > SENT:
+                        sent, size = set(), 0
+                    sent.add(f)
+                    size += len(f)
+                    seen.append((h, f))
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.binary()), pa.array([zlib.compress(f, 1) for _, f in seen], pa.binary())], names=["h", "form"])
 
     def differing(batches):
@@ -111,16 +126,17 @@ def collisions(df: DataFrame, text: str = "text", hashed=digest) -> dict[bytes,
 
 
 def fingerprints(df: DataFrame, text: str = "text", to: str = "fingerprint", hashed=digest) -> DataFrame:
-    """df with each text's fingerprint. Null texts count as empty; extra columns stay; empty tables give none."""
+    """df with each text's fingerprint. Null texts count as empty; a column named as `to` is replaced, others may have
+    any name; empty tables give none."""
     known = collisions(df, text, hashed)
-    names = [c for c in df.columns if c not in (to, "_data")]
-    schema = df.select(*names).schema.add(to, "string")
+    source, schema = carried(df, text, to)
+    schema = schema.add(to, "string")
 
     def work(batches):
-        for b in pieces(batches, "_data"):
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(canonical(t.decode("utf-8", "replace")), known, hashed) for t in b.column(len(names)).to_pylist()], pa.string())], names=schema.names)
+        for b in pieces(batches, "data"):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(canonical(t.decode("utf-8", "replace")), known, hashed) for t in b.column(b.num_columns - 1).to_pylist()], pa.string())], names=schema.names)
 
-    return df.select(*names, utf8(text).alias("_data")).mapInArrow(work, schema)
+    return source.mapInArrow(work, schema)
 
 
 _ROW = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -138,11 +154,13 @@ def edited(df: DataFrame, doc: str = "doc_id", text: str = "text", hashed=digest
 
     The edited text has the last quarter of its code points replaced by the first as many (or all) of the next
     document's, in the order of doc (null first), then text; the last one is followed by the first. Rows are
-    range-partitioned; a partition's last row, which needs the next partition's first one, is finished afterwards.
+    range-partitioned by doc and the beginning of the text; a partition's last row, which needs the next partition's
+    first one, is joined with that afterwards. Null texts are empty; other columns are not looked at; empty tables give
+    none.
     """
     spark = df.sparkSession
     known = collisions(df.select(F.col(text).alias("text")), "text", hashed)
-    ordered = df.select(F.col(doc).alias("doc"), utf8(text).alias("data")).repartitionByRange(parallelism(spark), "doc").sortWithinPartitions("doc", "data")
+    ordered = df.select(F.col(doc).alias("doc"), utf8(text).alias("data")).repartitionByRange(parallelism(spark), F.col("doc"), F.substring("data", 1, 256)).sortWithinPartitions("doc", "data")
     kind = df.schema[doc].dataType.simpleString()
     kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
     made = ", ".join(f"{n} {t}" for n, t in zip(_ROW, ("long", "string", "string", "string", "double", "double"), strict=True))
@@ -173,22 +191,15 @@ def edited(df: DataFrame, doc: str = "doc_id", text: str = "text", hashed=digest
             yield out(held[0], [None], held[1] if first else None, held[1])
 
     table = Scratch(spark, "edited").table(ordered.mapInArrow(work, f"doc {kind}, {made}, part int, head binary, tail binary"), "rows")
-    edges = table.where("head IS NOT NULL OR tail IS NOT NULL").select("doc", "part", "head", "tail")
+    # What follows each partition that has rows: a number for a task.
+    parts = sorted(r["part"] for r in table.where("tail IS NOT NULL").select("part").collect())
+    follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, next int")
+    heads = table.where("head IS NOT NULL").select(F.col("part").alias("next"), F.col("head").alias("after"))
+    ends = table.where("tail IS NOT NULL").select("doc", "part", "tail").join(F.broadcast(follows), "part").join(heads, "next").select("doc", "tail", "after")
 
     def join(batches):
-        """Two rows per partition, in order: tails meet the heads that follow."""
-        start, held = None, None
-        for b in batches:
-            for i, (head, tail) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if head is not None:
-                    start = head if start is None else start
-                    if held is not None:
-                        yield batch(held[0], [_row(held[1].decode("utf-8", "replace"), head.decode("utf-8", "replace"), known, hashed)], [], [])
-                        held = None
-                if tail is not None:
-                    held = b.column(0).slice(i, 1), tail
-        if held is not None:
-            yield batch(held[0], [_row(held[1].decode("utf-8", "replace"), start.decode("utf-8", "replace"), known, hashed)], [], [])
+        for b in pieces(batches, "tail"):
+            rows = [_row(t.decode("utf-8", "replace"), a.decode("utf-8", "replace"), known, hashed) for t, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield batch(b.column(0), rows, [], [])
 
-    last = edges.repartition(1).sortWithinPartitions("part", F.col("tail").isNotNull()).mapInArrow(join, f"doc {kind}, {made}")
-    return table.where("tail IS NULL").select("doc", *_ROW).unionByName(last)
+    return table.where("tail IS NULL").select("doc", *_ROW).unionByName(ends.mapInArrow(join, f"doc {kind}, {made}"))

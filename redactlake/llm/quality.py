@@ -2,7 +2,8 @@
 
 Bytes are embedded; learned filters run over overlapping chunks that cover the whole text; each filter's responses are
 max-pooled in a chunk. The greatest, mean and least pooled response over a text's chunks go into one logistic unit.
-The last chunk ends at the text's end, so all chunks of a longer text are full. Fitted by Adam on the driver.
+The last chunk ends at the text's end, so all chunks of a longer text are full. Fitted by Adam on the driver, on a
+sample of labelled rows of bounded number, each with its whole text.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactlake.llm.common import pieces, small_batches, utf8
+from redactlake.llm.common import carried, pieces, small_batches, utf8
 
 CHUNK, STEP = 256, 192
 WIDTH, STRIDE = 8, 2
-#: Labelled texts for fitting, and the bytes that one may have.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8_192
-#: Chunks convolved at a time.
-AT_ONCE = 256
+#: Labelled texts for fitting.
+SAMPLE_ROWS = 2000
+#: Chunks convolved, and gradients carried back, at a time.
+AT_ONCE, GRADIENTS = 256, 1 << 16
 
 
 @dataclass
@@ -120,15 +121,17 @@ def fit(texts: list[bytes], labels: list[int], size: int = 8, filters: int = 32,
             dp *= p > 0
             # Only where a filter was greatest does a gradient go on.
             kernel, embed = np.zeros_like(model.kernel), np.zeros_like(model.embed)
-            row, col = np.nonzero(dp)
-            seen = c[row[:, None], where[row, col][:, None] * STRIDE + np.arange(WIDTH)]
-            g = dp[row, col]
-            flat = model.embed[seen].reshape(len(row), WIDTH * size)
-            for j in range(filters):
-                kernel[:, j] = g[col == j] @ flat[col == j]
-            parts = (g[:, None] * model.kernel.T[col]).reshape(-1, size)
-            for j in range(size):
-                embed[:, j] = np.bincount(seen.ravel(), parts[:, j], 257)
+            rows, cols = np.nonzero(dp)
+            for i in range(0, len(rows), GRADIENTS):
+                row, col = rows[i : i + GRADIENTS], cols[i : i + GRADIENTS]
+                seen = c[row[:, None], where[row, col][:, None] * STRIDE + np.arange(WIDTH)]
+                g = dp[row, col]
+                flat = model.embed[seen].reshape(len(row), WIDTH * size)
+                for j in range(filters):
+                    kernel[:, j] += g[col == j] @ flat[col == j]
+                parts = (g[:, None] * model.kernel.T[col]).reshape(-1, size)
+                for j in range(size):
+                    embed[:, j] += np.bincount(seen.ravel(), parts[:, j], 257)
             lr = rate * min(1, 2 * (1 - step / (rounds + 1)))
             for q, (value, grad) in enumerate(zip(model.learned, [_but_padding(embed), kernel, dp.sum(0), f.T @ dz + 1e-4 * model.out, dz.sum(keepdims=True)], strict=True)):
                 m1[q] = 0.9 * m1[q] + 0.1 * grad
@@ -143,24 +146,28 @@ def _but_padding(grad: np.ndarray) -> np.ndarray:
     return grad
 
 
-def sample(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int]]:
-    """At most `rows` labelled texts, chosen by a hash of their ids; texts over `size` bytes are left out."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(doc).agg(F.max(label).alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64(doc), doc).limit(rows)
-    found = documents.where(F.col(text).isNotNull()).join(F.broadcast(chosen), doc).select(doc, utf8(text).alias("_data"), "_label").where(F.length("_data") <= size)
+def sample(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[int]]:
+    """The whole texts and labels of at most `rows` labelled ids, chosen by a hash of the id, whatever their length.
+
+    Null labels, ids and texts take no part; of several labels of an id the greatest counts, rows that repeat an id and
+    a text count once. Empty tables give empty lists.
+    """
+    chosen = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("doc")).agg(F.max(label).alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc"), "doc").limit(rows)
+    found = documents.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), utf8(text).alias("data")).join(F.broadcast(chosen), "doc").select("doc", "data", "label")
     got = sorted({(r[0], bytes(r[1]), r[2]) for r in found.collect()}, key=lambda r: (str(r[0]), r[1]))
     return [r[1] for r in got], [int(r[2]) for r in got]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
-    """df with the probability of label 1, from the whole text alone. Null texts count as empty; every row gets a score."""
+    """df with the probability of label 1, from the whole text alone. Null texts count as empty, every row gets a score,
+    equal texts the same one. A column named as `to` is replaced, others may have any name; empty tables give none."""
     small_batches(df.sparkSession)
-    names = [c for c in df.columns if c not in (to, "_data")]
-    source = df.select(*names, utf8(text).alias("_data"))
-    schema = df.select(*names).schema.add(to, "double")
+    source, schema = carried(df, text, to)
+    schema = schema.add(to, "double")
 
     def work(batches):
-        for b in pieces(batches, "_data", 1 << 20):
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores(model, b.column(len(names)).to_pylist()), pa.float64())], names=schema.names)
+        for b in pieces(batches, "data", 1 << 20):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores(model, b.column(b.num_columns - 1).to_pylist()), pa.float64())], names=schema.names)
 
     return source.mapInArrow(work, schema)

@@ -3,7 +3,10 @@
 Centroids come from a bounded sample by repeated splitting, so no list is much larger than others. Every vector goes
 to its nearest centroid and, if it lies near a boundary, to further ones, unless these are closer to a centroid that
 has it already. Centroids are found by best-first search in their neighbour graph, in memory. A query reads the lists
-whose centroids are not much farther than the nearest one, and as many as it needs to see enough candidates.
+whose centroids are not much farther than the nearest ones, and as many as it needs to see enough candidates. How much
+farther, and how many at most, is calibrated: vectors held out of the fit ask for their nearest ones in the sample, as
+many as stand for k of the whole table, and both bounds are set so that COVERED of these lie in the lists read. So the
+lists read follow from the data: few where vectors have structure, a third of the table where they have none.
 
 Vectors are extended by one coordinate so that all have the norm of the longest one: then the nearest by distance are
 those of the largest inner product. Lists are cut into blocks of bounded size on both sides, so neither a hot list nor
@@ -22,14 +25,18 @@ from pyspark.sql import functions as F
 
 from redactlake.llm.common import Scratch
 
-#: Vectors that centroids are fitted on, and the most centroids.
-SAMPLE, CENTROIDS = 16_384, 2048
+#: Vectors that centroids are fitted on, and the most centroids (lists grow beyond some 260,000 vectors).
+SAMPLE, CENTROIDS = 32_768, 4096
+#: Centroids for each root of the number of vectors, and the fewest sampled vectors for one.
+PER_ROOT, PER_CENTROID = 8, 8
+#: Vectors held out to calibrate with, and the share of their nearest ones that must be in the lists read.
+PROBES, COVERED = 512, 0.94
 #: Lists that hold a vector; how much farther than the nearest centroid these may be.
 REPLICAS, NEAR = 4, 1.2
 #: A further centroid is passed over if its squared distance to one that holds the vector is less than this share of that to the vector.
 APART = 0.3
-#: Lists that a query reads, the least and the most (or a seventh of all); how much farther than the nearest these may be.
-LEAST_LISTS, MOST_LISTS, REACH = 16, 64, 1.3
+#: The fewest lists that a query reads.
+LEAST_LISTS = 8
 #: Neighbours in the centroid graph, and centroids held during a search.
 DEGREE = 24
 #: Vectors and queries of a list that meet in one group.
@@ -42,6 +49,8 @@ class Index:
     graph: np.ndarray  # centroid x DEGREE
     entries: np.ndarray  # centroids a search begins at
     longest: float  # norm
+    most: int = 1 << 30  # lists that a query reads
+    reach: float = float("inf")  # how much farther than the LEAST_LISTS-th nearest centroid these may be
 
 
 def extended(x: np.ndarray, longest: float) -> np.ndarray:
@@ -147,20 +156,47 @@ def lists_of(index: Index, x: np.ndarray, replicas: int = REPLICAS, near: float
     return out
 
 
-def lists_for(index: Index, q: np.ndarray, counts: np.ndarray, enough: int, least: int = LEAST_LISTS, most: int = MOST_LISTS, reach: float = REACH) -> list[list[int]]:
+def calibrated(index: Index, probes: np.ndarray, sample: np.ndarray, n: int, k: int, covered: float = COVERED) -> Index:
+    """The index with its bounds for reading. probes: vectors that are not in the sample; n: vectors of the table."""
+    wanted = min(max(1, -(-k * len(sample) // n)), len(sample))
+    best = np.concatenate([np.argpartition(-(probes[i : i + 64] @ sample.T), wanted - 1, axis=1)[:, :wanted] for i in range(0, len(probes), 64)])
+    rows, of = np.unique(best, return_inverse=True)
+    held = lists_of(index, sample[rows])
+    d = _distance(extended_query(probes), index.centroids)
+    rank = np.empty(d.shape, "i8")
+    np.put_along_axis(rank, np.argsort(d, axis=1), np.arange(d.shape[1])[None, :], axis=1)
+    # Not the nearest one: a vector that its centroid was fitted on is nearer to that than others are to theirs.
+    base = np.partition(d, min(LEAST_LISTS, d.shape[1]) - 1, axis=1)[:, min(LEAST_LISTS, d.shape[1]) - 1]
+    ranks, ratios = [], []
+    for p, own in enumerate(of.reshape(best.shape)):
+        for v in own:
+            first = min(held[v], key=lambda c: rank[p, c])
+            ranks.append(rank[p, first])
+            ratios.append(np.sqrt(d[p, first] / max(base[p], 1e-12)))
+    index.most = int(np.quantile(ranks, 1 - (1 - covered) / 4, method="higher")) + 1
+    index.reach = float(np.quantile(ratios, covered, method="higher"))
+    return index
+
+
+def lists_for(index: Index, q: np.ndarray, counts: np.ndarray, enough: int, least: int = LEAST_LISTS) -> list[list[int]]:
     """The lists each query reads. counts: vectors whose nearest centroid it is, so that `enough` are seen."""
-    most = max(most, len(index.centroids) // 7)
-    ids, far = search(index, extended_query(q), most)
+    wide = extended_query(q)
+    ids, far = search(index, wide, max(index.most, least))
     out = []
-    for row, d in zip(ids, far, strict=True):
-        own, held = [], 0
+    for x, row, d in zip(wide, ids, far, strict=True):
+        own, held, base = [], 0, d[min(least, len(d)) - 1]
         for i, e in zip(row, d, strict=True):
-            if i < 0 or (len(own) >= least and e > reach**2 * d[0] and held >= enough):
+            if i < 0 or (len(own) >= least and e > index.reach**2 * base and held >= enough):
                 break
             own.append(int(i))
             held += int(counts[i])
-        if held < enough:  # what the search has not reached
-            own += [i for i in np.argsort(((index.centroids - extended_query(q[:1])[0]) ** 2).sum(1)).tolist() if i not in own]
+        if held < enough:  # further than the search has gone
+            for i in np.argsort(((index.centroids - x) ** 2).sum(1)).tolist():
+                if i not in own:
+                    own.append(i)
+                    held += int(counts[i])
+                    if held >= enough:
+                        break
         out.append(own)
     return out
 
@@ -213,8 +249,12 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, vec: str = "vec_id", ve
     if dims is None:
         return spark.createDataFrame([], schema)
     rows = rows.where(F.size("x") == dims["d"])
-    found = rows.orderBy(F.xxhash64("vec"), "vec").limit(sample).toPandas()["x"].tolist()
-    index = fit(np.array(found, "f8"), float(dims["longest"]), int(np.clip(np.sqrt(dims["n"]) * 2, 1, min(centroids, len(found) // 4 + 1))))
+    found = _matrix(rows.orderBy(F.xxhash64("vec"), "vec").limit(sample).select("x").toArrow()["x"])
+    held_out, longest = (PROBES if len(found) >= 4 * PROBES else 0), float(dims["longest"])
+    wanted = int(np.clip(np.sqrt(dims["n"]) * PER_ROOT, 1, min(centroids, len(found) // PER_CENTROID + 1)))
+    index = fit(found[held_out:], longest, wanted)
+    if held_out:  # else every list is read
+        index = calibrated(index, found[:held_out], found[held_out:], dims["n"], k)
 
     def assign(batches):
         for b in batches:
@@ -229,7 +269,7 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, vec: str = "vec_id", ve
     sizes, counts = np.ones(len(index.centroids), "i8"), np.zeros(len(index.centroids), "i8")
     for r in postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if("main").alias("m")).collect():  # a row per centroid
         sizes[r["list"]], counts[r["list"]] = r["n"], r["m"]
-    enough = 8 * k + 1
+    enough = 2 * k + 1
 
     def probe(batches):
         for b in batches:

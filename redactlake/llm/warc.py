@@ -102,7 +102,8 @@ def parsed(member: bytes) -> tuple:
 
 
 def _files(root: str) -> tuple[pafs.FileSystem, str]:
-    files, path = pafs.FileSystem.from_uri(root)
+    """Archives are written by Arrow's file systems, which name one scheme of Hadoop's otherwise."""
+    files, path = pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", root))
     return files, path.rstrip("/")
 
 

@@ -88,8 +88,9 @@ CHECKS: dict[str, Callable[[Span, Column | None], Verdict]] = {
     "email": _email,
     "ipv4": lambda s, _: _if(~s.match.rlike(IPV4_SPECIAL), CONFIDENCE["ipv4"]),
 }
-#: What a text must hold for the pattern to be worth a try.
-NEEDS = {"cn-id-card": "[0-9]{14}", "bank-card": "[0-9]", "cn-mobile": "1[3-9][0-9]", "cn-uscc": "[0-9]{6}", "email": "@", "ipv4": r"[0-9]\.[0-9]"}
+#: What a text must hold for the pattern to be worth a try: the least of it without looking around, as that is what
+#: costs most at each character.
+NEEDS = {"cn-id-card": "[0-9]{17}[0-9Xx]", "bank-card": "[0-9](?:[ -]?[0-9]){14}", "cn-mobile": "1[3-9][0-9](?:[ -]?[0-9]{4}){2}", "cn-uscc": "[0-9]{6}[0-9A-HJ-NPQRTUWXY]{10}", "email": "@", "ipv4": r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"}
 
 
 @dataclass(frozen=True)
@@ -116,27 +117,34 @@ class Pii:
         severity = dict(self.severity).get(kind, TYPES[kind][0])
         return ("medium" if kind == "bank-card" and severity == "low" else severity), top
 
-    def _emitter(self, kind: str, as_of: Column | None, usual: str) -> Callable[[Span], Column]:
-        def finding(s: Span, v: Column) -> Column:
-            return F.when(v.isNotNull(), raw_finding(f"pii.{kind}", "pii", F.coalesce(v["severity"], F.lit(usual)), v["confidence"], s, TYPES[kind][1]))
-
-        def checked(s: Span) -> Column:
-            return let(CHECKS[kind](s, as_of), lambda v: finding(s, v))
-
-        return checked
-
     def detect(self, doc: Doc, only: Iterable[str] | None = None) -> Column:
+        """The types whose candidates the text may hold, as an array, go through one expression."""
         as_of = F.lit(self.as_of).cast("timestamp") if self.as_of else None
-        chosen = dict(self.severity)
-        out = []
+        chosen, rows, checks = dict(self.severity), [], []
         for kind in self.types():
             if only is not None and f"pii.{kind}" not in only:
                 continue
-
-            emit = self._emitter(kind, as_of, chosen.get(kind, TYPES[kind][0]))
             need = F.contains(doc.text, F.lit("@")) if kind == "email" else doc.text.rlike(NEEDS[kind])
-            out.append(found(doc, PATTERNS[kind], emit, when=need))
-        return F.concat(*out) if out else no_findings()
+            fields = {"id": f"pii.{kind}", "regex": PATTERNS[kind], "severity": chosen.get(kind, TYPES[kind][0]), "description": TYPES[kind][1]}
+            rows.append(F.when(need, F.struct(*[F.lit(v).alias(k) for k, v in fields.items()])))
+            checks.append((fields["id"], CHECKS[kind]))
+        if not rows:
+            return no_findings()
+
+        def emit(own: Column) -> Callable[[Span], Column]:
+            def verdict(s: Span) -> Column:
+                out = F.lit(None)
+                for rule_id, check in checks:
+                    out = F.when(own["id"] == rule_id, check(s, as_of)).otherwise(out)
+                return out
+
+            def finding(s: Span, v: Column) -> Column:
+                return F.when(v.isNotNull(), raw_finding(own["id"], "pii", F.coalesce(v["severity"], own["severity"]), v["confidence"], s, own["description"]))
+
+            return lambda s: let(verdict(s), lambda v: finding(s, v))
+
+        worth = F.filter(F.array(*rows), lambda r: r.isNotNull())
+        return F.flatten(F.transform(worth, lambda r: found(doc, r["regex"], emit(r))))
 
 
 def pii(include: Iterable[str] | None = None, severity: dict[str, str] | None = None, as_of: str | None = None) -> Pii:

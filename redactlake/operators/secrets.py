@@ -6,6 +6,7 @@ does not grow with their number. The patterns, entropy bounds and confidences ar
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -20,8 +21,8 @@ from redactlake.types import SEVERITY_RANK, Doc, Span, no_findings, raw_finding
 
 @dataclass(frozen=True)
 class SecretRule:
-    """keywords: lower-case; one must occur (none: no prefilter). worth: a pattern that must be found before regex is
-    tried. secret_group: 0, or a group that stands outside of others. validate: a span to a boolean Column, or to
+    """keywords: lower-case; one must occur (none: no prefilter). worth: a pattern that must be found in the lower-cased
+    text before regex is tried. secret_group: 0, or a group that stands outside of others. validate: a span to a boolean Column, or to
     (severity, confidence) Columns of which nulls leave the rule's own. top: the greatest severity it can then have."""
 
     id: str
@@ -76,7 +77,8 @@ def _b(core: str) -> str:
 
 
 _UUID = "[a-fA-F0-9]{8}(?:-[a-fA-F0-9]{4}){3}-[a-fA-F0-9]{12}"
-_ASSIGN = r"""["\x27]?\s{0,3}(?:[=:：]|是|为|is)\s{0,3}["\x27]?"""
+_IS = r"""["\x27]?\s{0,3}(?:[=:：]|是|为|is)"""
+_ASSIGN = rf"""{_IS}\s{{0,3}}["\x27]?"""
 
 RULES: tuple[SecretRule, ...] = (
     SecretRule("private-key", "critical", r"(-----BEGIN[ A-Z0-9_-]{0,60}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]{0,8000}?-----END[ A-Z0-9_-]{0,60}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\r\n]{0,8000}))", ("private key",), "Private key block"),
@@ -96,7 +98,7 @@ RULES: tuple[SecretRule, ...] = (
     SecretRule("huggingface-token", "high", _b("hf_[A-Za-z0-9]{34}"), ("hf_",), "Hugging Face access token"),
     SecretRule("sendgrid-api-key", "high", _b(r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"), ("sg.",), "SendGrid API key"),
     SecretRule("shopify-token", "high", _b("shp(?:at|ca|pa|ss)_[A-Fa-f0-9]{32}"), ("shpat_", "shpca_", "shppa_", "shpss_"), "Shopify access token"),
-    SecretRule("telegram-bot-token", "high", r"(?<![A-Za-z0-9_])([0-9]{8,10}:[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", (), "Telegram bot token", entropy=3.5, confidence=0.9, worth="[0-9]{8}:"),
+    SecretRule("telegram-bot-token", "high", r"(?<![A-Za-z0-9_])([0-9]{8,10}:[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", (":",), "Telegram bot token", entropy=3.5, confidence=0.9, worth="[0-9]{8}:"),
     SecretRule("discord-webhook", "high", r"(https://(?:[a-z]{1,10}\.)?discord(?:app)?\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,80})", ("discord",), "Discord webhook URL"),
     SecretRule("azure-storage-key", "critical", r"(?i:AccountKey\s{0,3}=\s{0,3})([A-Za-z0-9+/]{86}==)", ("accountkey",), "Azure storage account key"),
     SecretRule("alibaba-access-key-id", "high", _b("LTAI[A-Za-z0-9]{12,24}"), ("ltai",), "Alibaba Cloud access key ID"),
@@ -111,8 +113,8 @@ RULES: tuple[SecretRule, ...] = (
     SecretRule("url-credentials", "high", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:@/]{1,100}:([^\s@/]{3,200})@", ("://",), "Password in a URL", confidence=0.85),
     SecretRule("bearer-token", "high", r"(?i:bearer\s{1,3})([A-Za-z0-9._~+/=-]{16,1000})", ("bearer",), "Bearer token", entropy=3.0, confidence=0.85),
     SecretRule("basic-auth-header", "high", r"(?i:authorization\s{0,3}:\s{0,3}basic\s{1,3})([A-Za-z0-9+/]{8,500}={0,2})", ("basic",), "Basic authorization header", confidence=0.9, validate=_basic),
-    SecretRule("generic-password", "high", rf"""(?i:password|passwd|passphrase|pwd|密码|口令|密钥|令牌){_ASSIGN}([^\s"\x27，。；,;]{{6,128}})""", ("password", "passwd", "passphrase", "pwd", "密码", "口令", "密钥", "令牌"), "Password assignment", confidence=0.7, validate=_no_code),
-    SecretRule("generic-api-key", "high", rf"""(?i:api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|secret[_-]?key|secret|token){_ASSIGN}([A-Za-z0-9_.~+/=-]{{16,256}})""", ("key", "token", "secret"), "API key, token or secret assignment", entropy=3.0, confidence=0.7, validate=lambda s: has_letter_and_digit(s.match) & _no_code(s)),
+    SecretRule("generic-password", "high", rf"""(?i:password|passwd|passphrase|pwd|密码|口令|密钥|令牌){_ASSIGN}([^\s"\x27，。；,;]{{6,128}})""", ("password", "passwd", "passphrase", "pwd", "密码", "口令", "密钥", "令牌"), "Password assignment", confidence=0.7, validate=_no_code, worth=rf"(?:password|passwd|passphrase|pwd|密码|口令|密钥|令牌){_IS}"),
+    SecretRule("generic-api-key", "high", rf"""(?i:api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|secret[_-]?key|secret|token){_ASSIGN}([A-Za-z0-9_.~+/=-]{{16,256}})""", ("key", "token", "secret"), "API key, token or secret assignment", entropy=3.0, confidence=0.7, validate=lambda s: has_letter_and_digit(s.match) & _no_code(s), worth=rf"(?:key|token|secret){_IS}"),
 )
 
 
@@ -136,6 +138,10 @@ class Secrets:
         own = rule in RULES or rule.validate is None
         return rule.top or (rule.severity if own else "critical"), rule.confidence if own else 1.0
 
+    def needles(self) -> list[str]:
+        """Keywords of all rules, to be looked for before any runs."""
+        return [k for r in self.rules() for k in r.keywords]
+
     def _emit(self, rules: list[SecretRule], own: Column) -> Callable[[Span], Column]:
         """own: the struct of the rule that runs."""
 
@@ -164,30 +170,30 @@ class Secrets:
         chosen = [r for r in self.rules() if only is None or f"secret.{r.id}" in only]
         if not chosen:
             return no_findings()
-        worth = F.filter(F.array(*map(_row, chosen)), lambda r: _worth(r, doc))
-        return F.flatten(F.transform(worth, lambda r: found(doc, r["regex"], self._emit(chosen, r), r["group"])))
+        rules = F.from_json(F.lit(json.dumps([*map(_row, chosen)])), _ROWS)
+        worth = F.filter(rules, lambda r: _worth(r, doc))
+        everything = F.flatten(F.transform(worth, lambda r: found(doc, r["regex"], self._emit(chosen, r), r["group"])))
+        # Asked for twice in any case, or the optimizer would write the search for needles into the lambdas.
+        some = F.array_max(doc.needles).isNotNull()
+        if not all(r.keywords for r in chosen):
+            some |= F.size(doc.needles) >= 0
+        return F.when(some, everything).otherwise(no_findings())
+
+
+#: group: of the pattern with what precedes the secret as its first group.
+_ROWS = "array<struct<id:string,regex:string,group:int,severity:string,confidence:double,entropy:double,description:string,worth:string,keywords:array<string>>>"
 
 
-def _row(rule: SecretRule) -> Column:
-    """The rule as a struct of literals. group: of the pattern with what precedes the secret as its first group."""
+def _row(rule: SecretRule) -> dict:
     g = rule.secret_group
-    return F.struct(
-        F.lit(f"secret.{rule.id}").alias("id"),
-        F.lit(led(rule.regex, g) if g else rule.regex).alias("regex"),
-        F.lit(g + 1 if g else 0).alias("group"),
-        F.lit(rule.severity).alias("severity"),
-        F.lit(rule.confidence).cast("double").alias("confidence"),
-        F.lit(rule.entropy).cast("double").alias("entropy"),
-        F.lit(rule.description).cast("string").alias("description"),
-        F.lit(rule.worth).cast("string").alias("worth"),
-        (F.array(*map(F.lit, rule.keywords)) if rule.keywords else F.array().cast("array<string>")).alias("keywords"),
-    )
+    own = {k: getattr(rule, k) for k in ("severity", "confidence", "entropy", "description", "worth", "keywords")}
+    return own | {"id": f"secret.{rule.id}", "regex": led(rule.regex, g) if g else rule.regex, "group": g + 1 if g else 0}
 
 
 def _worth(rule: Column, doc: Doc) -> Column:
     """Whether the text holds one of the rule's keywords, and what it asks for beside them."""
-    some = (F.size(rule["keywords"]) == 0) | F.exists(rule["keywords"], lambda k: F.contains(doc.lower, k))
-    return some & F.when(rule["worth"].isNull(), True).otherwise(F.regexp_like(doc.text, F.coalesce(rule["worth"], F.lit(""))))
+    some = (F.size(rule["keywords"]) == 0) | F.coalesce(F.arrays_overlap(rule["keywords"], doc.needles), F.lit(False))
+    return some & F.when(rule["worth"].isNull(), True).otherwise(F.regexp_like(doc.lower, F.coalesce(rule["worth"], F.lit(""))))
 
 
 def secrets(disable: Iterable[str] = (), allowlist: Iterable[str] = (), ignore_examples: bool = True, extra_rules: Iterable[SecretRule] = ()) -> Secrets:

@@ -14,7 +14,7 @@ from redactlake.operators.pii import pii
 from redactlake.operators.resolve import Masker, Units, astral, by_start, dedupe, masks, redacted, to_utf16, utf16_units
 from redactlake.operators.secrets import secrets
 from redactlake.operators.spans import let, running
-from redactlake.types import FINDING_FIELDS, SEVERITY_RANK, Doc, in_pieces, no_findings, severity_rank
+from redactlake.types import FINDING_FIELDS, SEVERITY_RANK, Doc, held_of, in_pieces, no_findings, severity_rank
 
 
 @dataclass(frozen=True)
@@ -123,10 +123,12 @@ class Scanner:
         return F.when((F.size(kept) > 0) & astral(doc.text), let(units, lambda u: done(lambda o: convert(u, o)))).otherwise(done(lambda o: o))
 
     def _with_doc(self, df: DataFrame, text: str) -> tuple[DataFrame, Doc, list[str]]:
-        names = own_names(df, "text", "lower", "pieces")
-        source, lower, parts = names
+        names = own_names(df, "text", "lower", "pieces", "needles")
+        source, lower, parts, needles = names
+        wanted = [n for d in self.detectors if hasattr(d, "needles") for n in d.needles()]
         out = df.withColumn(source, F.coalesce(F.col(text), F.lit("")))
         out = out.withColumns({lower: F.lower(F.col(source)), parts: in_pieces(F.col(source))})
+        out = out.withColumn(needles, held_of(F.col(lower), wanted))
         return out, Doc(*map(F.col, names)), names
 
     def _scan(self, df: DataFrame, text: str, to: str, everything: bool) -> DataFrame:

@@ -19,7 +19,7 @@ from redactlake.operators.regex import RegexRule, regex_detector
 from redactlake.operators.resolve import masks
 from redactlake.operators.secrets import SecretRule, secrets
 from redactlake.plans.scanner import Pattern, Scanner, apply_redaction, dedupe_findings, python_masker
-from redactlake.sources.tables import table
+from redactlake.sources.tables import dealt, table
 from redactlake.types import severity_rank
 
 AS_OF = "2026-01-01"
@@ -199,11 +199,11 @@ def _flat(df: DataFrame, *more: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return dealt(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("text"))
+    return dealt(table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("text")))
 
 
 def _messages(tbl: str, key: str, expression: str) -> Callable[[SparkSession, str], DataFrame]:

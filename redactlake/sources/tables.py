@@ -17,3 +17,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", partition_by: list[str] | None = None, **options) -> None:
     writer = df.write.format(fmt).mode(mode).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+
+
+#: Bytes of a usual split.
+SPLIT = 128 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table of less than a usual split for each core, dealt over the cores: its files may hold fewer row groups than
+    there are cores, and a scan would run on as many. Larger ones stay as they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -45,6 +46,23 @@ def cut(pieces: Column, start: Column, size: Column | int) -> Column:
     return F.substring(F.array_join(held, ""), inside + 1, n)
 
 
+#: Characters that few texts hold: needles with one are looked for only where it is.
+MARKS = ("_", "-", ":", "/")
+
+
+def held_of(lower: Column, needles: Iterable[str]) -> Column:
+    """The needles in the text (others: null), as an expression without lambdas, which would not be compiled."""
+    groups: dict[str | None, list[str]] = {}
+    for n in sorted(set(needles)):
+        groups.setdefault(next((m for m in MARKS if m in n), None), []).append(n)
+    empty = F.array().cast("array<string>")
+    out = [empty]
+    for mark, words in groups.items():
+        found = F.array(*(F.when(F.contains(lower, F.lit(w)), F.lit(w)) for w in words))
+        out.append(found if mark is None else F.when(F.contains(lower, F.lit(mark)), found).otherwise(empty))
+    return F.concat(*out)
+
+
 @dataclass(frozen=True)
 class Doc:
     """Columns of a text that detectors share."""
@@ -52,6 +70,7 @@ class Doc:
     text: Column
     lower: Column
     pieces: Column
+    needles: Column  # of what detectors ask for by `needles()`, what the lower-cased text holds, and nulls
 
     def cut(self, start: Column, size: Column | int) -> Column:
         return cut(self.pieces, start, size)

@@ -16,6 +16,7 @@ length: ranks are a count within its task plus the counts of the tasks before, s
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -177,9 +178,15 @@ def places(runs: list[Run], capacity: int = CAPACITY) -> list[np.ndarray]:
     return [np.array(sorted(x), "i8").reshape(-1, 3) for x in out]
 
 
+#: White space that the compiled tokenizer's pattern may give up at, as it steps back through all of it, or a word that
+#: takes it much memory.
+LONG_RUN = 1 << 16
+LONG_RUNS = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}|(?<!\S)\S{{{LONG_RUN}}}")
+
+
 @lru_cache(maxsize=2)
 def token_encoder(path: str):
-    """text -> ids as bytes; the merges of the file by tiktoken, else by the trie."""
+    """text -> ids as bytes; the merges of the file by tiktoken, else, and for texts with very long runs, by the trie."""
     import tiktoken
 
     v = bpe.vocabulary(path)
@@ -190,6 +197,8 @@ def token_encoder(path: str):
     t = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=v.id_of, special_tokens=v.special)
 
     def encode(text: str) -> bytes:
+        if len(text) >= LONG_RUN and LONG_RUNS.search(text):
+            return bpe.encoder(path).encode([text])[0]
         special = any(s in text for s in v.special)
         return array("I", t.encode(text, allowed_special="all") if special else t.encode_ordinary(text)).tobytes()
 

@@ -54,6 +54,27 @@ def _shuffles_given_up(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+#: All that was made here and not dropped.
+_made: list[Scratch] = []
+
+
+@atexit.register
+def _drop_made(first: int = 0) -> None:
+    for s in _made[first:]:
+        s.drop()
+    del _made[first:]
+
+
+@contextlib.contextmanager
+def tables_given_up() -> Iterator[None]:
+    """Tables that operators have written in here are dropped at its end, so their results must be written as well."""
+    first = len(_made)
+    try:
+        yield
+    finally:
+        _drop_made(first)
+
+
 class Scratch:
     """Tables written in the shared folder, to cut lineage: a lost executor costs no recomputation past them. Results
     are read from them, so they stay until they are dropped or the driver ends."""
@@ -61,7 +82,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        _made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -59,6 +59,53 @@ def test_bpe(docs, empty):
     odd = ["\x1c a b", "a \n b", "  lead", "trail  ", "Ⅷ²½ x", "'s 'tis we'll", "\r\n\r\n", *("".join(chr(RNG.choice([32, 10, 9, 97, 0xE9, 0x3000, 0x661, 0x1F600, 39])) for _ in range(30)) for _ in range(60))]
     for s, ids in zip(odd, e.encode(odd), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
+    assert not any(len(p) > bpe.LONG_PART for p in [*e.first, *e.after])
+
+
+LONG = [" " * 300_000, "\n" * 300_000, "x" + " " * 200_000 + "y", "".join(RNG.choice("abcdeöst") for _ in range(200_000)), ("ab" * 3000 + " ") * 40, "\t \n" * 90_000 + "end"]
+
+
+def test_very_long_texts():
+    """Runs that a compiled pattern or a trie of nodes could not take, by both encoders."""
+    from tokenizers import Tokenizer
+
+    t, e, encode = Tokenizer.from_file(PATH), bpe.encoder(PATH), packing.token_encoder(PATH)
+    for s in LONG:
+        ids = t.encode(s, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode([s])[0], "<u4").tolist() == ids
+        assert np.frombuffer(encode(s), "<u4").tolist() == ids
+
+
+CLASHING = ["spans", "_keep", "_th", "_tag", "_copies", "_data", "data", "_kept2", "th", "c0", "c9", "text_hash", "copies", "mark_keep", "sample", "fp", "seed", "n", "doc"]
+
+
+def test_columns_of_any_name(docs, spark):
+    """Columns named as an operator's own come through; tables without rows do as well."""
+    import corpus_pipeline
+
+    df = docs.select("doc_id", "text", *[F.lit(f"v-{c}").alias(c) for c in CLASHING])
+    model = quality.fit([], [])
+    made = [
+        (bpe.encode(df, PATH, decoded="back"), ["ids", "back"]),
+        (bpe.decode(df.withColumn("ids", F.lit(b"\5\0\0\0")), PATH), ["ids", "decoded"]),
+        (line_dedup.keep_lines(df, line_dedup.keep_bitmaps(df, min_docs=10)), ["_n_lines", "_n_dropped", "_kept"]),
+        (fingerprint.fingerprints(df), ["fingerprint"]),
+        (suffix_dedup.without_repeats(df), ["_n_bytes", "_n_removed", "_n_spans", "_kept"]),
+        (quality.score(df, model), ["score"]),
+        (corpus_pipeline.drop_lines(spark, df, ""), []),
+        (corpus_pipeline.one_of_near(spark, df, ""), []),
+        (corpus_pipeline.drop_repeats(spark, df, ""), []),
+    ]
+    for out, added in made:
+        assert out.columns == [*df.columns, *added]
+        for row in out.collect():
+            assert all(row[c] == f"v-{c}" for c in CLASHING)
+    assert simhash.near_duplicates(df).count() == lm.score(df, F.lit(False), states=2, rounds=1).count() == packing.pack(df, PATH).select("doc").distinct().count() + 1
+    again = line_dedup.keep_lines(df.withColumn("_kept", F.lit(1)), line_dedup.keep_bitmaps(df, min_docs=10))
+    assert again.columns.count("_kept") == 1 and dict(again.dtypes)["_kept"] == "string"
+    none = df.limit(0)
+    assert bpe.encode(none, PATH).count() == quality.score(none, model).count() == fingerprint.fingerprints(none).count() == 0
+    assert corpus_pipeline.drop_lines(spark, none, "").count() == corpus_pipeline.drop_repeats(spark, none, "").count() == 0
 
 
 def keys_of(text):
@@ -109,6 +156,29 @@ def test_lm(docs, empty):
     want = sorted((r.doc_id if r.doc_id is not None else -1, len(tokens(r)), sum(w in c for w in tokens(r)), round(sum(math.log10(c[w] + 1) - d for w in tokens(r)), 6)) for r in rows)
     assert sorted((r.doc if r.doc is not None else -1, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert all(r.train_tokens == n and r.score < 0 for r in got)
+    _, v, m = lm.trained(docs, F.col("doc_id") % 3 == 2, states=3, rounds=2)
+    symbols = {w: i for i, w in enumerate(v.head)}
+    classes = Counter()
+    for w, k in c.items():
+        if w is not None and lm.word_key(w) not in symbols:
+            classes.update({(lm.word_class(w), "tokens"): k, (lm.word_class(w), "words"): 1})
+
+    def forward(words):
+        """log10 of the sum over all state sequences, word by word."""
+        total, a = 0.0, None
+        for w in words:
+            key = lm.END if w is None else lm.word_key(w)
+            if key in symbols:
+                emit = m.emit[symbols[key]]
+            else:
+                k = lm.word_class(w)
+                emit = m.emit[len(symbols) + k] * (c[w] + 1) / (classes[k, "tokens"] + classes[k, "words"] + 1)
+            a = (m.start if a is None else a @ m.move) * emit
+            total, a = total + math.log10(a.sum()), a / a.sum()
+        return total
+
+    by_text = Counter((r.doc_id, round(forward(tokens(r)), 5)) for r in rows)
+    assert by_text == Counter((r.doc, round(r.score, 5)) for r in got)
     assert lm.score(empty, F.lit(False)).count() == 0
 
 
@@ -127,6 +197,16 @@ def test_lm_recursions():
     assert np.allclose(lm.log_likelihood(m, rows), [likelihood(x) for x in rows])
     start, move, emit, total = lm.expected(m, rows, np.ones(3, bool))
     assert np.isclose(total, sum(map(likelihood, rows))) and np.isclose(emit.sum(), 8) and np.isclose(move.sum(), 5) and np.isclose(start.sum(), 3)
+    # A long text in overlapping segments gives the counts that it gives in one piece.
+    x = rng.integers(0, 5, 5000).astype("u2")
+    whole = lm.expected(m, [x], np.ones(1, bool))
+    rows, core = [], []
+    for at in range(0, len(x), 300):
+        low, end = max(at - lm.OVERLAP, 0), min(at + 300, len(x))
+        rows.append(x[low : end + lm.OVERLAP])
+        core.append((at - low, end - low))
+    cut = lm.expected(m, rows, np.arange(len(rows)) == 0, core)
+    assert all(np.allclose(a, b, rtol=1e-3) for a, b in zip(whole[:3], cut[:3])) and np.isclose(cut[1].sum(), 4999)
     long = [rng.integers(0, 5, 3 * lm.PART + 7).astype("u2")]
     part, lm.PART = lm.PART, 1 << 30
     whole = lm.log_likelihood(m, long)
@@ -134,6 +214,15 @@ def test_lm_recursions():
     assert np.allclose(lm.log_likelihood(m, long), whole)
 
 
+def test_lm_head(spark, monkeypatch):
+    """A level of counts with more words than there is room for is taken in part."""
+    monkeypatch.setattr(lm, "HEAD", 8)
+    counts = spark.createDataFrame([(lm.END, 9, 0), (b"often", 50, 1), *((f"w{i:02d}".encode(), 3, i % 3) for i in range(40))], "word binary, c long, cls int")
+    v = lm._vocabulary(counts)
+    assert v.head == [lm.END, b"often", *(f"w{i:02d}".encode() for i in range(6))] and v.tokens == 179 and v.words == 42
+    assert v.class_words.sum() == 34 and v.class_tokens.sum() == 102 and v.counts[:3].tolist() == [9, 50, 3]
+
+
 def test_fingerprint(docs, empty, spark):
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, data(r)))
     got = {}
@@ -201,6 +290,40 @@ def test_quality():
     assert len(quality.scores(model, [b"", b"x" * 300_000])) == 2 and quality.scores(quality.fit([], []), [b""])[0] == 0.5
 
 
+def test_quality_forward():
+    """Scores against a forward pass written out, on texts shorter and longer than a chunk."""
+    texts = [b"", b"a", prose(9).encode(), prose(200).encode(), b"q" * 256, b"q" * 257]
+    model = quality.fit([prose(30).encode() for _ in range(40)], [i % 2 for i in range(40)], size=3, filters=4, epochs=2)
+    for t, got in zip(texts, quality.scores(model, texts), strict=True):
+        parts = [[*t, *[256] * (256 - len(t))]] if len(t) <= 256 else [list(t[i : i + 256]) for i in [*range(0, len(t) - 256, 192), len(t) - 256]]
+        pooled = []
+        for p in parts:
+            best = [max(sum(float(model.embed[p[at + w]][d]) * float(model.kernel[w * 3 + d][f]) for w in range(8) for d in range(3)) for at in range(0, 249, 2)) for f in range(4)]
+            pooled.append([max(b + float(model.bias[f]), 0) for f, b in enumerate(best)])
+        features = [max(c) for c in zip(*pooled)] + [sum(c) / len(c) for c in zip(*pooled)] + [min(c) for c in zip(*pooled)]
+        z = float(model.base[0]) + sum((x - float(a)) / float(b) * float(o) for x, a, b, o in zip(features, model.mean, model.scale, model.out))
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-4
+
+
+def test_quality_query(spark, tmp_path):
+    """The query on a small table: held-out accuracy, long labelled texts in the sample, nulls and repeated rows."""
+    from redactlake.llm import queries
+
+    junk = lambda n: " ".join([RNG.choice(WORDS)] * n)
+    texts = [(prose if i % 2 else junk)(2500 if i % 7 == 0 else 60) for i in range(300)] + [None, ""]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x"), (None, texts[7], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(302)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op7_quality(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 300]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.9
+    learn, labels = quality.sample(queries.read(spark, str(tmp_path), "documents"), queries.read(spark, str(tmp_path), "labels"))
+    assert sorted(learn) == sorted(t.encode() for t in texts if t is not None) and max(map(len, learn)) > 8192
+    assert quality.sample(queries.read(spark, str(tmp_path), "documents").limit(0), queries.read(spark, str(tmp_path), "labels")) == ([], [])
+
+
 def test_warc(spark):
     rows = [(1, "http://www.B.example.com/a?x=1#f", "<p>é</p>"), (2, "https://a.example.com:8080", "<p>é</p>"), (3, None, None), (4, "", ""), (5, "no url at all\r\n", "same"), (5, "no url at all\r\n", "same"), (None, "http://x/", "same"), (7, "http://x/", "x" * 100_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
@@ -268,3 +391,30 @@ def test_ann(spark):
         hit += len({r.vec_id for r in own} & set(best))
     assert hit >= 0.9 * 20 * 35
     assert ann.nearest(df.where("vec_id > 900")).count() == 0
+
+
+def test_ann_lists(spark):
+    """Recall and the share of the table that is read, with calibrated bounds: where vectors have no structure, and
+    where they have."""
+    rng = np.random.default_rng(4)
+    plain = rng.standard_normal((6000, 32))
+    centres = rng.standard_normal((150, 32))
+    for x, least, most in ((plain, 0.9, 0.9), (centres[rng.integers(0, 150, 6000)] + 0.3 * rng.standard_normal((6000, 32)), 0.9, 0.3)):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        index = ann.fit(x[ann.PROBES :], 1.0, 600)
+        index = ann.calibrated(index, x[: ann.PROBES], x[ann.PROBES :], len(x), 20)
+        held = ann.lists_of(index, x)
+        counts = np.bincount([h[0] for h in held], minlength=len(index.centroids))
+        size = np.bincount(np.concatenate(held), minlength=len(index.centroids))
+        asked = np.arange(0, 6000, 20)
+        read = ann.lists_for(index, x[asked], counts, 41)
+        s = x[asked] @ x.T
+        s[np.arange(len(asked)), asked] = -np.inf
+        best = np.argsort(-s, axis=1)[:, :20]
+        seen = np.mean([[bool(set(held[v]) & set(lists)) for v in row] for row, lists in zip(best, read)])
+        assert seen >= least and np.mean([size[lists].sum() for lists in read]) / 6000 / np.mean([len(h) for h in held]) < most
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(plain[:3000])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df).collect()}
+    s = plain[:3000:20] @ plain[:3000].T
+    s[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    assert len(got) == 3000 and np.mean([(20 * i, int(v)) in got for i, row in enumerate(np.argsort(-s, axis=1)[:, :20]) for v in row]) >= 0.9

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from redactlake.llm import near, packing, quality, simhash, suffix_dedup
+from redactlake.llm import near, quality
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 RNG = random.Random(9)
 WORDS = [f"{a}{b}" for a in ("ta", "lo", "mi", "ne", "ru", "sa") for b in ("n", "ra", "stu", "ve", "x")]
 
@@ -38,29 +39,35 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     often = Counter(k for t in docs.values() for k in {x.strip().lower() for x in (t or "").split("\n")} - {""})
     docs = {i: "\n".join(x for x in (t or "").split("\n") if often[x.strip().lower()] < 10) for i, t in docs.items()}
     ids = sorted(docs)
-    fps = np.array([simhash.fingerprint(docs[i].encode()) for i in ids], "u8")
-    label = list(range(len(ids)))
+    sets = {i: shingles(docs[i]) for i in ids}
+    label = {i: i for i in ids}
     for _ in ids:
-        for a in range(len(ids)):
-            for b in np.flatnonzero(np.bitwise_count(fps ^ fps[a]) <= 2):
-                label[a] = min(label[a], label[b])
-    docs = {i: docs[i] for n, i in enumerate(ids) if label[n] == n}
-    data = [docs[i].encode() for i in sorted(docs)]
-    removed = [w[1] for w in suffix_dedup.reference(data)]
-    encode = packing.token_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+        for a in ids:
+            for b in ids:
+                if a > b and same(sets[a], sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    docs = {i: docs[i].encode() for i in ids if label[i] == i}
+    count = Counter(d[k : k + 200] for d in docs.values() for k in range(len(d) - 199))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, removed = {}, 0
+    for i, d in docs.items():
+        gone = {j for k in range(len(d) - 199) if count[d[k : k + 200]] > 1 for j in range(k, k + 200)}
+        removed += len(gone)
+        kept = bytes(x for j, x in enumerate(d) if j not in gone).decode("utf-8", "ignore")
+        tokens = np.array(t.encode(kept, add_special_tokens=False).ids + [2], "<u4")
+        first = (len(tokens) - 1) % 1024 + 1
+        for piece, start in enumerate([0, *range(first, len(tokens), 1024)]):
+            part = tokens[start : first if not start else start + 1024]
+            want[i, piece] = (start, len(part), zlib.crc32(part.tobytes()))
 
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} == set(docs) and len(docs) < 60 and sum(removed) > 0
-    length = Counter()
-    for r in out:
-        length[r.doc_id] += r.length
-    for i, d, n in zip(sorted(docs), data, removed, strict=True):
-        if not n:
-            assert length[i] == len(encode(d.decode())) // 4 + 1
-        else:
-            assert length[i] < len(encode(d.decode())) // 4 + 1
-    kept = Counter(r.sequence_id for r in out for _ in range(r.length))
-    assert max(kept.values()) <= 1024
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in out} == want and len(out) == len(want)
+    assert len(docs) < 62 and removed > 0
+    at: dict[int, int] = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 1024 and len(at) <= -(-sum(at.values()) // 1024) + 1
 
 
 def shingles(text):

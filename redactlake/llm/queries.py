@@ -102,6 +102,26 @@ SQL: dict[str, str] = {
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
     FROM marked GROUP BY doc_id""",
+    # Every window of 200 bytes, as hexadecimal digits.
+    "op5_suffix_dedup": """
+    WITH d AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), w AS (
+        SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k
+        FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS i FROM d)
+    ), often AS (
+        SELECT k FROM w GROUP BY k HAVING count(*) > 1
+    ), hit AS (
+        SELECT doc_id, i, coalesce(i > lag(i) OVER p + 200, true) AS opens FROM w JOIN often USING (k) WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+    ), runs AS (
+        SELECT doc_id, run, min(i) AS s, max(i) + 200 AS e FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit) GROUP BY doc_id, run
+    ), cut AS (
+        SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM runs
+    ), kept AS (
+        SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS h FROM cut JOIN d USING (doc_id) GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+    FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
     "op8_warc": """
     WITH p AS (
         SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS sha FROM pages

@@ -7,6 +7,7 @@ does not grow with their number. The patterns, entropy bounds and confidences ar
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -196,8 +197,16 @@ def _worth(rule: Column, doc: Doc) -> Column:
     return some & F.when(rule["worth"].isNull(), True).otherwise(F.regexp_like(doc.lower, F.coalesce(rule["worth"], F.lit(""))))
 
 
+def _groupless(pattern: str) -> bool:
+    try:
+        return not re.compile(pattern).groups
+    except re.error:  # of Java's dialect alone
+        return False
+
+
 def secrets(disable: Iterable[str] = (), allowlist: Iterable[str] = (), ignore_examples: bool = True, extra_rules: Iterable[SecretRule] = ()) -> Secrets:
-    extra = tuple(replace(r, keywords=tuple(k.lower() for k in r.keywords)) for r in extra_rules)
+    """extra_rules run after the built-in ones. A rule whose pattern has no group reports all of its match."""
+    extra = tuple(replace(r, keywords=tuple(k.lower() for k in r.keywords), secret_group=0 if _groupless(r.regex) else r.secret_group) for r in extra_rules)
     for r in extra:
         if r.severity not in SEVERITY_RANK:
             raise ValueError(f"unknown severity: {r.severity}")

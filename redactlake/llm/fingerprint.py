@@ -18,7 +18,6 @@ import hashlib
 import unicodedata
 import zlib
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext

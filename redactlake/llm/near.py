@@ -201,12 +201,14 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     scratch = Scratch(df.sparkSession, "near")
     df = df.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     own = scratch.table(_nodes(df), "own")
-    nodes = scratch.table(own.groupBy("node").agg(F.min("doc").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "nodes")
-    listed = nodes.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    nodes = scratch.table(own.groupBy("node").agg(F.min("doc").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "nodes")
+    listed = own.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.posexplode("keys").alias("pos", "key"))
     same = Window.partitionBy("key")
     row = F.struct("node", "n", "pos")
     shared = listed.select("key", row.alias("x"), F.min(row).over(same).alias("first"), F.max(row).over(same).alias("last")).where("first.node <> last.node")
     shared = scratch.table(shared, "shared")
+    members = scratch.table(own.select("doc", "node"), "members")
+    scratch.drop("own")  # the keys take the most room
 
     first = _by_simhash(nodes, scratch).unionByName(_closest(shared, "first")).unionByName(_closest(shared, "last"))
     first = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -227,4 +229,4 @@ def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     member = scratch.table(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "member")
     least = scratch.table(member.groupBy("root").agg(F.min("least").alias("component")), "least")
     member = scratch.table(member.join(least, "root").select("node", "component"), "component")
-    return own.select("doc", "node").join(member, "node").select("doc", "node", "component")
+    return members.join(member, "node").select("doc", "node", "component")
